@@ -178,4 +178,5 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
         if tuple(sums) == last:
             break
         last = tuple(sums)
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
