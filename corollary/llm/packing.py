@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,8 +33,6 @@ from .common import Scratch, arrow_column, record_batch
 CLOSING_ID = 0
 #: A greedily packed window may lack so many tokens; beyond it pieces are cut instead.
 MOST_PADDING = 8
-#: Units of text whose ids a worker keeps.
-KEPT_UNITS = 500_000
 
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, tail binary, part int, k long"
 PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("tail", pa.binary()), ("part", pa.int32()), ("k", pa.int64())])
@@ -41,49 +40,37 @@ PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 PACKED_ARROW = pa.schema([(x.split()[0], pa.int64()) for x in PACKED.split(", ")])
 
 
-class UnitTokenizer:
-    """Ids of a byte-level BPE tokenizer, kept by unit of text.
+#: Fixed value: the pattern by which the byte-level tokenizer cuts a text before merging.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-    Its pattern never matches across a space that follows something other than white space, so a text
-    can be cut before each of those and the units encoded alone.  Texts with special tokens are encoded whole.
+
+class ByteTokenizer:
+    """Ids of a byte-level BPE tokenizer file.
+
+    Its vocabulary is loaded into a faster encoder of the same scheme.  Texts that hold special tokens, or runs
+    so long that the encoder's pattern engine could give up, go through the tokenizers library itself.
     """
 
-    CUT = re.compile(r"(?<=\S)(?= )")
-    RUN = re.compile(r"\s ")
+    LONG_RUN = re.compile(r"\s{1000}|\S{5000}")
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.kept: dict[str, bytes] = {}
-
-    def plain(self, units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-
-    def units(self, text: str) -> list[str]:
-        if self.RUN.search(text):
-            return self.CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        out, kept = [], self.kept
-        cut = [None if any(s in t for s in self.special) else self.units(t) for t in texts]
-        missing = list({u for c in cut if c for u in c if u not in kept})
-        if len(kept) + len(missing) > KEPT_UNITS:
-            kept.clear()
-            missing = list({u for c in cut if c for u in c})
-        for k in range(0, len(missing), 4096):
-            some = missing[k : k + 4096]
-            kept.update(zip(some, self.plain(some), strict=True))
-        for t, c in zip(texts, cut, strict=True):
-            out.append(self.plain([t])[0] if c is None else b"".join(map(kept.__getitem__, c)))
-        return out
+        self.library = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+        sign = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+        ranks = {bytes(sign[c] for c in t): i for t, i in self.library.get_vocab(with_added_tokens=False).items() if t not in self.special}
+        self.fast = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit integers."""
+        if any(s in text for s in self.special) or len(text) >= 1000 and self.LONG_RUN.search(text):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> UnitTokenizer:
-    return UnitTokenizer(path)
+def tokenizer(path: str) -> ByteTokenizer:
+    return ByteTokenizer(path)
 
 
 def batches_of(texts: list, chars: int = 400_000):
@@ -109,8 +96,8 @@ def cut_pieces(docs: DataFrame, path: str, window: int) -> DataFrame:
             ids, texts = arrow_column(b, "doc_id"), arrow_column(b, "text")
             for lo, hi in batches_of(texts):
                 rows: dict[str, list] = {f.name: [] for f in PIECES_ARROW}
-                for doc, x in zip(ids[lo:hi], t.encode([s or "" for s in texts[lo:hi]]), strict=True):
-                    x += closing
+                for doc, text in zip(ids[lo:hi], texts[lo:hi], strict=True):
+                    x = t.encode(text or "") + closing
                     n = len(x) // 4
                     for start in range(0, n, window):
                         piece = x[4 * start : 4 * (start + window)]
