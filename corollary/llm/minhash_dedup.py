@@ -219,3 +219,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, blo
         out = out.withColumn("component", F.lit(None).cast("long"))
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
+
+
+def keep_first(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The documents with all their columns, of each component only the one with the smallest id."""
+    rows = near_duplicates(docs, shingle=shingle, percent=percent)
+    gone = Scratch(docs.sparkSession, "minhash-dedup").write(rows.filter("not kept").select("doc_id").distinct(), "gone")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

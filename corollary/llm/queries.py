@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
-from . import embedding_dedup, language_id, lm_scoring, minhash_dedup, packing, sentencepiece_bpe, substring_dedup, toxicity
+from . import embedding_dedup, language_id, line_dedup, lm_scoring, minhash_dedup, packing, quality, sentencepiece_bpe, substring_dedup, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,10 +24,19 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op3_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.ratios(docs, read(spark, sf_dir, "labels")))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digests=True)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(read(spark, sf_dir, "documents"))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link(read(spark, sf_dir, "embeddings"))
 
@@ -51,7 +60,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_deleted_interpolation, op2_minhash_dedup, op4_sentencepiece, op6_embedding_dedup, op7_substring_dedup, op8_packing, op9_toxicity, op10_language_id)}
+    return {f.__name__: f for f in (op1_deleted_interpolation, op2_minhash_dedup, op3_quality_ratio, op4_sentencepiece, op5_line_dedup, op6_embedding_dedup, op7_substring_dedup, op8_packing, op9_toxicity, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
