@@ -5,10 +5,11 @@ each minimum its low eight bits are packed into a signature, and equal bytes of
 for chance collisions, estimate the similarity of candidates.  Estimates within the error margin of the
 threshold are decided on the full sets.
 
-Documents with the same set are one class from the start.  No group is ever expanded into its pairs:
-candidates meet in blocks of a bounded number of signatures, where each document puts forward its best
-partners outside its own component; the full sets decide those; components grow; and what could still join
-two components is put forward in the next round, until nothing is left that the full sets have not decided.
+Documents with the same set are one class from the start.  No group is ever expanded into its pairs: candidates meet in blocks of a bounded number of signatures, where
+each document puts forward its best partners, and the full sets decide those.  Groups that fall into one
+component then are done.  The others meet once more in blocks that hold the full sets: there every pair of
+two components whose estimate is not below the margin is decided, and only links that join components leave
+the block, fewer than it has documents.
 
 Chance of missing a link at similarity 0.85: (1 - 0.85**5)**25 < 1e-6 by the bands, and the margin is four
 standard errors of the estimate.
@@ -33,15 +34,16 @@ from .common import Scratch, arrow_column, components, mix, record_batch, table,
 MINIMA, BITS, ROWS = 128, 8, 5
 BANDS = MINIMA // ROWS
 BLOCK = 2048  # signatures on one side of a comparison
-FIRST_PARTNERS = 2  # a document puts forward so many at first, eight times as many in each later round
+BLOCK_CHARS = 4_000_000  # of text on one side where full sets are compared
+PARTNERS = 2  # that a document puts forward first
+SLAB = 4096  # shingles whose presence is multiplied out at once
 _rng = np.random.default_rng(20240229)
 FACTORS = (_rng.integers(1, 1 << 32, MINIMA, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 OFFSETS = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint64).astype(np.uint32)
 
 SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("signature", pa.binary()), ("bands", pa.list_(pa.int64()))])
 SKETCH_SQL = "doc_id long, n_shingles long, key binary, signature binary, bands array<long>"
-#: The last pair of a document that has further candidates in a block pair is marked.
-PAIRS = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("estimate", pa.float64()), ("more", pa.bool_())])
+PAIRS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
 def shingle_set(text: str | None, n: int, *, lower: bool = True) -> np.ndarray:
@@ -106,42 +108,103 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((equal / a.shape[1]).astype(np.float32) - chance) / (1 - chance)
 
 
-def proposer(margin: float, partners: int):
-    """In a block pair, each document's best partners of another component that no earlier round has decided."""
+def sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a block pair's left and right rows; the same for a block with itself."""
+    block, first = np.array(t.column("block").to_pylist()), t.column("ba")[0].as_py()
+    left = np.flatnonzero(block == first)
+    return left, left if t.column("bb")[0].as_py() == first else np.flatnonzero(block != first)
+
+
+def signatures(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(-1, MINIMA)
+
+
+def comparable(size: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether two sets' sizes alone allow the similarity."""
+    x, y = size[a][:, None], size[b][None, :]
+    return 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
+
+
+def proposer(margin: float, percent: int):
+    """In a block pair, each document's partners of the highest estimates."""
 
     def propose(t: pa.Table) -> pa.Table:
-        ids = np.array(t.column("doc_id").to_pylist(), np.int64)
-        comp = np.array(t.column("component").to_pylist(), np.int64)
-        size = np.array(t.column("n_shingles").to_pylist(), np.int64)
-        done = np.array([2.0 if d is None else d for d in t.column("decided_to").to_pylist()], np.float32)
-        done_id = np.array([-1 if d is None else d for d in t.column("decided_id").to_pylist()], np.int64)
-        sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(-1, MINIMA)
-        block, first = np.array(t.column("block").to_pylist()), t.column("ba")[0].as_py()
-        same = t.column("bb")[0].as_py() == first
-        left = np.flatnonzero(block == first)
-        right = left if same else np.flatnonzero(block != first)
-        rows = {"u": [], "v": [], "estimate": [], "more": []}
-        for one, two in ((left, right),) if same else ((left, right), (right, left)):
-            for lo in range(0, len(one), 256):
-                some = one[lo : lo + 256]
-                e = estimate(sig[some], sig[two])
-                ok = (e >= margin) & (comp[some, None] != comp[None, two])
-                small, large = np.minimum(size[some, None], size[None, two]), np.maximum(size[some, None], size[None, two])
-                ok &= small >= 0.8 * margin * large
-                ok &= (e < done[some, None]) | ((e == done[some, None]) & (ids[None, two] > done_id[some, None]))
-                for k in np.flatnonzero(ok.any(1)).tolist():
-                    js = np.flatnonzero(ok[k])
-                    more = len(js) > partners
-                    js = js[np.lexsort((ids[two[js]], -e[k, js]))[:partners]]
-                    rows["u"] += [int(ids[some[k]])] * len(js)
-                    rows["v"] += ids[two[js]].tolist()
-                    rows["estimate"] += e[k, js].astype(float).tolist()
-                    rows["more"] += [False] * (len(js) - 1) + [more]
+        ids, size, sig = np.array(t.column("doc_id").to_pylist(), np.int64), np.array(t.column("n_shingles").to_pylist(), np.int64), signatures(t)
+        left, right = sides(t)
+        rows = {"u": [], "v": []}
+        for lo in range(0, len(left), 256):
+            some = left[lo : lo + 256]
+            e = estimate(sig[some], sig[right])
+            ok = (e >= margin) & comparable(size, some, right, percent) & (some[:, None] != right[None, :])
+            for k in np.flatnonzero(ok.any(1)).tolist():
+                js = np.flatnonzero(ok[k])
+                js = js[np.lexsort((ids[right[js]], -e[k, js]))[:PARTNERS]]
+                rows["u"] += [int(ids[some[k]])] * len(js)
+                rows["v"] += ids[right[js]].tolist()
         return table(rows, PAIRS)
 
     return propose
 
 
+def shared_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of one with all sets of two, by products of presence, a slab of shingles at a time."""
+    a, b = np.concatenate(one), np.concatenate(two)
+    row_a, row_b = np.repeat(np.arange(len(one)), [len(x) for x in one]), np.repeat(np.arange(len(two)), [len(x) for x in two])
+    common = np.intersect1d(a, b)
+    at_a, at_b = np.searchsorted(common, a), np.searchsorted(common, b)
+    in_a = (at_a < len(common)) & (common[np.minimum(at_a, len(common) - 1)] == a) if len(common) else np.zeros(len(a), bool)
+    in_b = (at_b < len(common)) & (common[np.minimum(at_b, len(common) - 1)] == b) if len(common) else np.zeros(len(b), bool)
+    out = np.zeros((len(one), len(two)), np.float32)
+    for lo in range(0, len(common), SLAB):
+        n = min(SLAB, len(common) - lo)
+        m, k = np.zeros((len(one), n), np.float32), np.zeros((len(two), n), np.float32)
+        x, y = in_a & (at_a >= lo) & (at_a < lo + n), in_b & (at_b >= lo) & (at_b < lo + n)
+        m[row_a[x], at_a[x] - lo] = 1
+        k[row_b[y], at_b[y] - lo] = 1
+        out += m @ k.T
+    return out
+
+
+def joiner(margin: float, percent: int, shingle: int):
+    """In a block pair with texts: links between components, decided on the full sets; a spanning set of them."""
+
+    def join(t: pa.Table) -> pa.Table:
+        ids, size, sig = np.array(t.column("doc_id").to_pylist(), np.int64), np.array(t.column("n_shingles").to_pylist(), np.int64), signatures(t)
+        comp = np.unique(np.array(t.column("component").to_pylist(), np.int64), return_inverse=True)[1].astype(np.int64)
+        texts, sets = t.column("text"), {}
+        parent = np.arange(comp.max() + 1)
+        rows = {"u": [], "v": []}
+
+        def shingles(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = shingle_set(texts[k].as_py(), shingle)
+            return sets[k]
+
+        left, right = sides(t)
+        for lo in range(0, len(left), 128):
+            some = left[lo : lo + 128]
+            ok = comparable(size, some, right, percent) & (parent[comp[some]][:, None] != parent[comp[right]][None, :])
+            if not ok.any():
+                continue
+            ok &= estimate(sig[some], sig[right]) >= margin
+            i, j = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
+            if not len(i):
+                continue
+            both = shared_counts([shingles(k) for k in some[i]], [shingles(k) for k in right[j]])
+            total = size[some[i]][:, None] + size[right[j]][None, :]
+            linked = ok[np.ix_(i, j)] & (100 * both >= percent * (total - both))
+            for x, y in zip(*np.nonzero(linked), strict=True):
+                u, v = int(some[i[x]]), int(right[j[y]])
+                p, q = parent[comp[u]], parent[comp[v]]
+                if p != q:
+                    parent[parent == max(p, q)] = min(p, q)
+                    rows["u"].append(int(ids[u]))
+                    rows["v"].append(int(ids[v]))
+        return table(rows, PAIRS)
+
+    return join
+
+
 def decide(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
     """Of the pairs (u, v) those whose full sets reach the threshold.  Texts travel once for each pair of a document."""
     texts = docs.select("doc_id", "text")
@@ -171,6 +234,12 @@ def decide(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, scratc
     return scratch.write(joined.select("u", "v", "text_u", "text_v").mapInArrow(check, "u long, v long"), "links")
 
 
+def block_pairs(rows: DataFrame, *more: str) -> DataFrame:
+    """Each row once for every pair that its block makes with a block of its group."""
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select("group", F.least("block", "other").alias("ba"), F.greatest("block", "other").alias("bb"), "block", "doc_id", "n_shingles", "signature", *more)
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document (doc_id, text); links need 100 |A and B| >= percent |A or B|."""
     scratch = Scratch(docs.sparkSession, "minhash-dedup")
@@ -178,7 +247,6 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, blo
     classes = scratch.write(sketches.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
     reps = sketches.filter("key is not null").join(classes, "key").filter("doc_id = rep").dropDuplicates(["doc_id", "key"])
     reps = scratch.write(reps.select("doc_id", "n_shingles", "signature", "bands"), "representatives")
-    # An id that stands for two sets is no identity for texts; it is left out of the candidates only if it repeats.
     banded = scratch.write(reps.select("doc_id", F.explode("bands").alias("band")), "bands")
     hubs = banded.groupBy("band").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     star = banded.join(hubs, "band").filter("doc_id <> hub").select(F.col("doc_id").alias("u"), F.col("hub").alias("v")).distinct()
@@ -189,34 +257,27 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, blo
     state = scratch.write(state, "candidates")
     scratch.drop(banded)
     margin = percent / 100 - 4 * math.sqrt(percent / 100 * (1 - percent / 100) / MINIMA)
-    known = state.select("doc_id", F.col("doc_id").alias("component"))
-    decided = state.select("doc_id", F.lit(None).cast("double").alias("decided_to"), F.lit(None).cast("long").alias("decided_id"))
-    links, partners = None, FIRST_PARTNERS
-    while True:
-        now = state.join(known, "doc_id").join(decided, "doc_id")
-        # Groups that are one component have nothing left to decide.
-        open_groups = now.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("group")
-        now = now.join(open_groups, "group").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        now = now.select("group", F.least("block", "other").alias("ba"), F.greatest("block", "other").alias("bb"), "block", "doc_id", "n_shingles", "signature", "component", "decided_to", "decided_id")
-        put = scratch.write(now.groupBy("group", "ba", "bb").applyInArrow(proposer(margin, partners), "u long, v long, estimate double, more boolean"), "pairs")
-        fresh = put.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        if put.isEmpty():
-            break
-        new = decide(fresh, docs, shingle, percent, scratch)
-        links = new if links is None else scratch.write(links.unionByName(new), "links")
+    put = block_pairs(state).groupBy("group", "ba", "bb").applyInArrow(proposer(margin, percent), "u long, v long")
+    put = scratch.write(put.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
+    links = decide(put, docs, shingle, percent, scratch)
+
+    def known(links: DataFrame) -> DataFrame:
         comps = components(links, scratch)
-        known = scratch.write(state.select("doc_id").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component")), "components")
-        # Decided are a document's candidates down to the highest place at which a block pair still had more.
-        last = F.max(F.when(F.col("more"), F.struct(F.col("estimate").alias("e"), (-F.col("v")).alias("v")))).alias("last")
-        last = put.groupBy(F.col("u").alias("doc_id")).agg(last).select("doc_id", F.coalesce("last.e", F.lit(-1.0)).alias("e"), (-F.col("last.v")).alias("v"))
-        decided = decided.join(last, "doc_id", "left").select("doc_id", F.coalesce("e", "decided_to").alias("decided_to"), F.when(F.col("e").isNull(), F.col("decided_id")).otherwise(F.col("v")).alias("decided_id"))
-        decided = scratch.write(decided, "decided")
-        partners *= 8
+        found = state.select("doc_id").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        return scratch.write(found.select("doc_id", F.coalesce("component", "doc_id").alias("component")), "components")
+
+    # Groups that are not one component yet are decided on their full sets.
+    now = state.select("group", "doc_id", "n_shingles", "signature").join(known(links), "doc_id")
+    still = now.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
+    now = now.join(still.select("group", "n"), "group").join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id")
+    undecided = now = scratch.write(now, "undecided")
+    sizes = now.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.length("text")) / BLOCK_CHARS)).cast("int").alias("blocks"))
+    now = now.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    more = scratch.write(block_pairs(now, "component", "text").groupBy("group", "ba", "bb").applyInArrow(joiner(margin, percent, shingle), "u long, v long"), "links")
+    comps = known(scratch.write(links.unionByName(more), "links"))
+    scratch.drop(undecided)
     out = sketches.join(classes, "key", "left")
-    if links is not None:
-        out = out.join(known.select(F.col("doc_id").alias("rep"), "component"), "rep", "left")
-    else:
-        out = out.withColumn("component", F.lit(None).cast("long"))
+    out = out.join(comps.select(F.col("doc_id").alias("rep"), "component"), "rep", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
 
