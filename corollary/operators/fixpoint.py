@@ -70,7 +70,8 @@ def as_set(rel: Rel) -> Rel:
         return Rel(rel.df.dropDuplicates(), rel.lanes, True)
     keys = [(c.key if c.lane.any else c.c).alias(f"k{k}") for k, c in enumerate(cells)]
     order = [F.col("rule_at")] if "rule_at" in rel.df.columns else []
-    least = F.min(F.struct(*order, *[F.col(c) for c in carried], *[c.c.alias(f"c{k}") for k, c in enumerate(cells)])).alias("p")
+    ranks = [c.rank.alias(f"r{k}") for k, c in enumerate(cells) if c.lane.any]  # of equal values the number
+    least = F.min(F.struct(*order, *[F.col(c) for c in carried], *ranks, *[c.c.alias(f"c{k}") for k, c in enumerate(cells)])).alias("p")
     df = rel.df.groupBy(*keys).agg(least)
     return Rel(df.select(*[F.col(f"p.c{k}").alias(f"c{k}") for k in range(len(cells))], *[F.col(f"p.{c}").alias(c) for c in carried]), rel.lanes, True)
 
