@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_column, bucket_column, bucket_of, record_batch
+from .common import arrow_column, bucket_column, bucket_of, record_batch, word_hashes
 
 #: Labelled rows of each kind that teach the model, at most; they are those of the smallest hash of the id.
 SAMPLE = {1: 2000, 0: 4000}
@@ -79,7 +79,7 @@ class LevenshteinTrie:
         best: dict[tuple[int, int], int] = {}
         prefix = 0
         for node, edits, code in all_items:
-            if self.ends[node] & 2 and (edits == 0 or self.longest[node] >= SHORTEST_FUZZY):
+            if node >= 0 and self.ends[node] & 2 and (edits == 0 or self.longest[node] >= SHORTEST_FUZZY):
                 prefix = min(filter(None, (prefix, 3 + edits)))
             prefix = min(filter(None, (prefix, code)), default=0)
         for node, edits, _ in all_items:
@@ -151,16 +151,17 @@ class Model:
         return out
 
     def features(self, text: str) -> np.ndarray:
-        """Hits by kind, those in quotation or report apart, and their share of the words."""
-        f = np.zeros(7)
+        """Hits in all (misspelled ones count a little less), the misspelled by kind, those in quotation or report, and their share of the words."""
+        f = np.zeros(5)
         words = text.encode().split()
         codes = self.codes(words)
         if any(codes):
             for k, c in enumerate(codes):
                 if c:
                     f[4 if quoted(words, k) else c - 1] += 1
-            f[6] = min(1.0, 100 * f[:4].sum() / len(words)) if words else 0
-        return np.array([*np.log1p(f[:5]), float(f[:4].sum() >= 2), f[6]])
+        hits = f[0] + 0.8 * f[1] + f[2] + 0.6 * f[3]
+        share = min(1.0, 100 * hits / len(words)) if words else 0.0
+        return np.array([np.log1p(hits), np.log1p(f[1]), np.log1p(f[3]), np.log1p(f[4]), float(hits >= 2), share])
 
     def score(self, text: str | None) -> float:
         if self.weights is None:
@@ -191,25 +192,44 @@ def term_candidates(text: str) -> set[str]:
     return out
 
 
+def once_each(texts: list[str]) -> list[set[str]]:
+    """Term candidates of texts; of copies and near copies, which share the three smallest hashes of their words, of one only."""
+    out = {}
+    for x in texts:
+        words = set(x.lower().encode().split())
+        out.setdefault(tuple(sorted(word_hashes(list(words)).tolist())[:3]), x)
+    return [term_candidates(x) for x in out.values()]
+
+
 def lexicon(toxic: list[str], clean: list[str]) -> list[str]:
-    """Terms of many toxic and next to no clean texts; of terms that cover the same texts the longest."""
-    seen = Counter(t for x in toxic for t in term_candidates(x))
-    least = max(3, 0.01 * len(toxic))
+    """Terms of toxic and next to no clean texts, chosen until each toxic text that can be has three.
+
+    The next term is the one in most texts that lack some; of terms in about the same texts the longest.
+    """
+    found = once_each(toxic)
+    seen = Counter(t for c in found for t in c)
+    least = max(3, 0.005 * len(found))
     seen = {t: n for t, n in seen.items() if n >= least}
-    other = Counter(t for x in clean for t in term_candidates(x) & seen.keys())
-    rate = lambda t: (seen[t] / len(toxic)) / ((other[t] + 0.5) / (len(clean) + 1))
-    good = sorted((t for t in seen if rate(t) >= 20), key=lambda t: (-seen[t], -len(t), t))
+    other = Counter(t for c in once_each(clean) for t in c & seen.keys())
+    total = len(clean) + 1
+    good = {t for t, n in seen.items() if (n / len(found)) / ((other[t] + 0.5) / total) >= 20}
+    texts = {t: set() for t in good}
+    for k, c in enumerate(found):
+        for t in c & good:
+            texts[t].add(k)
+    lacks = dict.fromkeys(range(len(found)), 3)
     chosen: list[str] = []
-    for t in good:
-        stem = t.rstrip("*")
-        if any(c.endswith("*") and stem.startswith(c[:-1]) and (len(stem) > len(c) - 1 or t == stem) for c in chosen):
-            continue
-        twins = [u for u in good if u.rstrip("*").startswith(stem) and seen[u] >= 0.95 * seen[t]]
-        best = max(twins, key=lambda u: (len(u.rstrip("*")), not u.endswith("*"), u))
-        if best not in chosen:
-            chosen.append(best)
-        if len(chosen) >= LEXICON:
+    while len(chosen) < LEXICON:
+        gain = {t: sum(lacks[k] > 0 for k in ks) for t, ks in texts.items()}
+        top = max(gain.values(), default=0)
+        if top < least:
             break
+        best = max((t for t, n in gain.items() if n >= 0.95 * top), key=lambda t: (len(t.rstrip("*")), gain[t], t))
+        chosen.append(best)
+        for k in texts[best]:
+            lacks[k] -= 1
+        stem = best.rstrip("*")
+        texts = {t: ks for t, ks in texts.items() if not (t.rstrip("*").startswith(stem) or (t.endswith("*") and stem.startswith(t[:-1])))}
     return chosen
 
 
