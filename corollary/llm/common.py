@@ -142,6 +142,14 @@ def chunk_column(doc_id: str, n: int) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(F.col(doc_id), F.lit(-1))), F.lit(n)).cast("int")
 
 
+def free_name(columns: list[str], stem: str) -> str:
+    """A column name that is not taken."""
+    taken = {c.lower() for c in columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def arrow_column(batch, name: str) -> list:
     return batch.column(name).to_pylist()
 

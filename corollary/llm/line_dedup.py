@@ -1,15 +1,16 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions only.
 
-Lines with the same set of words are one class, known by its first line.  The words of a class are ordered
-by rarity (counts in hash buckets, a table of fixed size; equal counts by hash, so that the order is total).
-Two sets of similarity 0.8 or more share a word among the rarest n - ceil(0.8 n) + 1 of each; the join on
-such words keeps pairs that pass the length filter, the positional filter and a bound from 128-bit sketches
-of the sets, which no similar pair can fail.  What is left is verified on the full sets.
+Equal lines are one class, known by its first place.  The words of a class are ordered by rarity (counts in
+hash buckets, a table of fixed size; equal counts by hash, so that the order is total).  Two sets of
+similarity 0.8 or more share a word among the rarest n - ceil(0.8 n) + 1 of each; the join on such words
+keeps pairs that pass the length filter, the positional filter and a bound from 64-bit sketches of the sets,
+which no similar pair can fail.  What is left is verified on the full sets.
 
 A line goes if an earlier line of the input (smaller doc_id, or the same document and further up) is
-similar.  One earlier line is enough, so classes are first held against the earliest class of each shared
-word; only those that find none there meet all earlier classes.  Groups of near copies thus cost one
-comparison a member, as long as the members resemble their first.
+similar.  One earlier line is enough, so classes are first held against the earliest class with the same two
+of their three rarest words, which settles most members of a group of near copies with one comparison each.
+Only classes that find none there meet all earlier classes of their prefix, in passes over ranges of words
+that bound the disk in use.
 
 Defined results: words are compared in lower case; lines without words stay where they are and match
 nothing; a null text stays null; a document whose lines all go keeps an empty text; rows that share a
@@ -18,98 +19,161 @@ doc_id share places, so the same line in both stays; a null doc_id comes first;
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD_GAP, Scratch
 
 SIMILARITY_PERCENT = 80
-BITS = 18  # of the hash that a rarity bucket has
+PASSES = 3  # over ranges of words
+SKETCHES = 4  # of a class's set, 64 bits each
+BITS = 16  # of the hash that a rarity bucket has
 FIRST = -(1 << 63)
+BLANK = " \t\n\x0b\x0c\r"
+
+
+def words_in(line: str | Column) -> Column:
+    """A line's words in lower case; the line must have some."""
+    return F.split(F.btrim(F.lower(line), F.lit(BLANK)), WORD_GAP)
 
 
 def word_set(line: str | Column) -> Column:
     """Distinct 64-bit hashes of a line's words."""
-    words = F.filter(F.split(F.lower(line), WORD_GAP), lambda w: w != "")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    return F.array_distinct(F.transform(words_in(line), lambda w: F.xxhash64(w)))
+
+
+def bucket(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 64 - BITS).cast("int")
 
 
 def spread(docs: DataFrame) -> DataFrame:
-    """Lines with words: (doc, pos, line, key), doc never null."""
+    """Lines with words: (doc, pos, line), doc never null."""
     text = docs.select(F.coalesce("doc_id", F.lit(FIRST)).alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    text = text.withColumn("set", F.array_sort(word_set("line"))).filter(F.size("set") > 0)
-    return text.select("doc", "pos", "line", F.struct(F.xxhash64("set").alias("a"), F.xxhash64(F.lit(1), "set").alias("b")).alias("key"))
+    return text.filter(F.btrim("line", F.lit(BLANK)) != "")
 
 
-def rarity(classes: DataFrame) -> bytes:
-    """A byte for each hash bucket: a quarter-octave scale of how often its words occur in classes."""
-    counts = classes.select(F.explode(word_set("line")).alias("h")).groupBy(F.shiftrightunsigned("h", 64 - BITS).cast("int").alias("b")).agg(F.count("*").alias("n"))
-    level = bytearray(1 << BITS)
+def rarity(classes: DataFrame) -> list[int]:
+    """For each hash bucket how often its words occur in classes, in quarters of an octave."""
+    counts = classes.select(F.explode(words_in("line")).alias("w")).groupBy(bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("n"))
+    level = [0] * (1 << BITS)
     for r in counts.collect():  # one row a bucket
-        level[r["b"]] = min(127, 1 + int(4 * (int(r["n"]).bit_length() - 1) + (4 * r["n"] >> (int(r["n"]).bit_length() - 1)) - 4))
-    return bytes(level)
-
-
-def prefixes(classes: DataFrame, levels: bytes) -> DataFrame:
-    """A row for each word of a class's prefix: (word, id, first, n, at, s1, s2)."""
-    level = lambda h: F.ascii(F.substring(F.lit(levels), F.shiftrightunsigned(h, 64 - BITS).cast("int") + 1, F.lit(1)).cast("string"))
-    c = classes.withColumn("set", word_set("line"))
-    c = c.withColumn("sorted", F.array_sort(F.transform("set", lambda h: F.struct(level(h).alias("l"), h.alias("h")))))
-    # Bits 0 to 63 and 64 to 127 of a sketch: each word sets one.
-    sketch = lambda high: F.aggregate("set", F.lit(0).cast("long"), lambda a, h: F.when(F.shiftright(h, 6).bitwiseAND(F.lit(1)) == high, a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")))).otherwise(a))
-    c = c.select("id", "first", F.size("set").alias("n"), sketch(0).alias("s1"), sketch(1).alias("s2"), "sorted")
+        octave = int(r["n"]).bit_length() - 1
+        level[r["b"]] = min(126, 1 + 4 * octave + ((4 * r["n"]) >> octave) - 4)
+    return level
+
+
+def ranked(classes: DataFrame, levels: list[int]) -> DataFrame:
+    """Of each class (doc, pos): the size of its set, 64-bit sketches of it, and the words of its prefix, rarest first."""
+    table = F.from_json(F.lit(json.dumps(levels, separators=(",", ":"))), "array<bigint>")
+    # Rarity in the highest bits, so that one sort of plain numbers orders by it.
+    words = F.transform(F.transform(words_in("line"), lambda w: F.xxhash64(w)), lambda h: F.shiftleft(F.get(table, bucket(h)), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))))
+    c = classes.withColumn("words", F.sort_array(F.array_distinct(words)))
+    one = F.lit(1).cast("long")
+    sketch = lambda low: F.aggregate("words", F.lit(0).cast("long"), lambda a, h: a.bitwiseOR(F.call_function("shiftleft", one, F.shiftright(h, low).bitwiseAND(F.lit(63)).cast("int"))))
     # n - ceil(0.8 n) + 1
     keep = F.col("n") - F.ceil(F.col("n") * SIMILARITY_PERCENT / 100).cast("int") + 1
-    c = c.withColumn("prefix", F.slice("sorted", 1, keep))
-    return c.select("id", "first", "n", "s1", "s2", F.posexplode("prefix").alias("at", "w")).select(F.col("w.h").alias("word"), "id", "first", "n", "at", "s1", "s2")
+    c = c.select("doc", "pos", F.size("words").alias("n"), *[sketch(6 * k).alias(f"sketch{k}") for k in range(SKETCHES)], "words")
+    return c.withColumn("words", F.slice("words", 1, keep))
+
+
+def prefixes(ranks: DataFrame) -> DataFrame:
+    """A row for each word of a class's prefix: (word, doc, pos, n, at, sketch0)."""
+    return ranks.select("doc", "pos", "n", "sketch0", F.posexplode("words").alias("at", "word")).select("word", "doc", "pos", "n", "at", "sketch0")
+
+
+def needed_overlap(x: str, y: str) -> Column:
+    """Similarity s needs an overlap of s / (1 + s) of the sizes' sum, in whole numbers."""
+    return F.ceil((F.col(f"{x}.n") + F.col(f"{y}.n")) * SIMILARITY_PERCENT / (100 + SIMILARITY_PERCENT))
+
+
+def differs_little(x: str, y: str, sketches: list[str]) -> Column:
+    """The sets differ in at least as many words as a sketch of both does in bits."""
+    most = F.col(f"{x}.n") + F.col(f"{y}.n") - 2 * needed_overlap(x, y)
+    out = F.lit(True)
+    for s in sketches:
+        out &= F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) <= most
+    return out
+
+
+def earlier(x: str, y: str) -> Column:
+    return (F.col(f"{x}.doc") < F.col(f"{y}.doc")) | ((F.col(f"{x}.doc") == F.col(f"{y}.doc")) & (F.col(f"{x}.pos") < F.col(f"{y}.pos")))
 
 
 def may_be_similar(x: str, y: str) -> Column:
     """Length, position and sketch filters between two prefix rows of the same word."""
     c = lambda side, name: F.col(f"{side}.{name}")
-    both = c(x, "n") + c(y, "n")
-    # similarity s needs an overlap of s / (1 + s) of the sizes' sum, in whole numbers
-    need = F.ceil(both * SIMILARITY_PERCENT / (100 + SIMILARITY_PERCENT))
     size = (100 * c(x, "n") >= SIMILARITY_PERCENT * c(y, "n")) & (100 * c(y, "n") >= SIMILARITY_PERCENT * c(x, "n"))
-    place = 1 + F.least(c(x, "n") - 1 - c(x, "at"), c(y, "n") - 1 - c(y, "at")) >= need
-    differ = F.bit_count(c(x, "s1").bitwiseXOR(c(y, "s1"))) + F.bit_count(c(x, "s2").bitwiseXOR(c(y, "s2")))
-    return size & place & (differ <= both - 2 * need)
+    place = 1 + F.least(c(x, "n") - 1 - c(x, "at"), c(y, "n") - 1 - c(y, "at")) >= needed_overlap(x, y)
+    return size & place & differs_little(x, y, ["sketch0"])
+
+
+def pairs(x: DataFrame, y: DataFrame) -> DataFrame:
+    """(xd, xp, yd, yp): an earlier class x and a later class y that may be similar, each pair once."""
+    both = y.alias("y").join(x.alias("x"), F.col("x.word") == F.col("y.word")).filter(earlier("x", "y")).filter(may_be_similar("x", "y"))
+    return both.select(F.col("x.doc").alias("xd"), F.col("x.pos").alias("xp"), F.col("y.doc").alias("yd"), F.col("y.pos").alias("yp")).distinct()
+
+
+def sketched(found: DataFrame, ranks: DataFrame) -> DataFrame:
+    """The pairs that the other sketches let pass too."""
+    more = [f"sketch{k}" for k in range(1, SKETCHES)]
+    for side in "xy":
+        own = ranks.select(F.col("doc").alias(f"{side}d"), F.col("pos").alias(f"{side}p"), F.struct("n", *more).alias(side))
+        found = found.join(own, [f"{side}d", f"{side}p"])
+    return found.filter(differs_little("x", "y", more)).select("xd", "xp", "yd", "yp")
+
+
+def hub_pairs(ranks: DataFrame) -> DataFrame:
+    """(xd, xp, yd, yp): classes with the earliest class that has two of their three rarest words among its own."""
+    w = lambda k: F.get("words", F.lit(k))
+    two = F.when(F.size("words") == 2, F.array(F.xxhash64(w(0), w(1)))).otherwise(F.array(F.xxhash64(w(0))))
+    keys = F.when(F.size("words") > 2, F.array(F.xxhash64(w(0), w(1)), F.xxhash64(w(0), w(2)), F.xxhash64(w(1), w(2)))).otherwise(two)
+    own = ["doc", "pos", "n", *[f"sketch{k}" for k in range(SKETCHES)]]
+    rows = ranks.select(*own, F.explode(keys).alias("word"))
+    hubs = rows.groupBy("word").agg(F.count("*").alias("times"), F.min(F.struct(*own)).alias("x")).filter("times > 1").select("word", "x.*")
+    both = rows.alias("y").join(hubs.alias("x"), F.col("x.word") == F.col("y.word")).filter(earlier("x", "y"))
+    size = (100 * F.col("x.n") >= SIMILARITY_PERCENT * F.col("y.n")) & (100 * F.col("y.n") >= SIMILARITY_PERCENT * F.col("x.n"))
+    both = both.filter(size & differs_little("x", "y", [f"sketch{k}" for k in range(SKETCHES)]))
+    return both.select(F.col("x.doc").alias("xd"), F.col("x.pos").alias("xp"), F.col("y.doc").alias("yd"), F.col("y.pos").alias("yp")).distinct()
 
 
-def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of pairs (x, y) the y whose full sets reach the threshold."""
-    lines = classes.select("id", "line")
-    p = pairs.join(lines.select(F.col("id").alias("x"), F.col("line").alias("line_x")), "x").join(lines.select(F.col("id").alias("y"), F.col("line").alias("line_y")), "y")
-    p = p.select("y", word_set("line_x").alias("a"), word_set("line_y").alias("b"))
-    p = p.withColumn("both", F.size(F.array_intersect("a", "b")))
-    return p.filter(100 * F.col("both") >= SIMILARITY_PERCENT * (F.size("a") + F.size("b") - F.col("both"))).select("y").distinct()
+def verified(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """(doc, pos) of the later classes of pairs whose full sets reach the threshold."""
+    side = lambda s: classes.select(F.col("doc").alias(f"{s}d"), F.col("pos").alias(f"{s}p"), F.col("line").alias(f"line_{s}"))
+    p = found.join(side("x"), ["xd", "xp"]).join(side("y"), ["yd", "yp"])
+    p = p.select("yd", "yp", word_set("line_x").alias("a"), word_set("line_y").alias("b")).withColumn("both", F.size(F.array_intersect("a", "b")))
+    similar = 100 * F.col("both") >= SIMILARITY_PERCENT * (F.size("a") + F.size("b") - F.col("both"))
+    return p.filter(similar).select(F.col("yd").alias("doc"), F.col("yp").alias("pos")).distinct()
 
 
 def later_classes(classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(y): classes with an earlier similar class."""
-    rows = scratch.write(prefixes(classes, rarity(classes)), "prefixes")
-    words = rows.groupBy("word").agg(F.count("*").alias("times"), F.min(F.struct("first", "id", "n", "at", "s1", "s2")).alias("hub")).filter("times > 1")
-    words = scratch.write(words, "words")
-    hubs = words.select("word", "hub.*")
-    near = rows.alias("y").join(hubs.alias("x"), F.col("x.word") == F.col("y.word")).filter(F.col("x.first") < F.col("y.first")).filter(may_be_similar("x", "y"))
-    found = scratch.write(verified(near.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct(), classes), "found")
+    """(doc, pos): classes with an earlier similar class."""
+    ranks = scratch.write(ranked(classes, rarity(classes)), "ranks")
+    near = scratch.write(hub_pairs(ranks), "pairs")
+    found = scratch.write(verified(near, classes), "found")
     # The rest meets every earlier class of a shared word.
-    rest = rows.join(words.select("word"), "word", "left_semi").join(found.select(F.col("y").alias("id")), "id", "left_anti")
-    far = rest.alias("y").join(rows.alias("x"), F.col("x.word") == F.col("y.word")).filter(F.col("x.first") < F.col("y.first")).filter(may_be_similar("x", "y"))
-    more = scratch.write(verified(far.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct(), classes), "found")
-    scratch.drop(rows, words)
+    rest = scratch.write(ranks.join(found, ["doc", "pos"], "left_anti"), "rest")
+    far = None
+    for k in range(PASSES):
+        part = F.pmod("word", F.lit(PASSES)) == k
+        some = scratch.write(pairs(prefixes(ranks).filter(part), prefixes(rest).filter(part)), "pairs")
+        far = some if far is None else far.unionByName(some)
+    passed = scratch.write(sketched(far.distinct(), ranks), "sketched")
+    more = scratch.write(verified(passed, classes), "found")
+    scratch.drop(ranks, rest, near, passed)
     return found.unionByName(more)
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
     """(doc, kept): by document the places of the lines with words that stay."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    first = F.min(F.struct("doc", "pos")).alias("first")
-    classes = spread(docs).groupBy("key").agg(first, F.min("line").alias("line"))
-    classes = scratch.write(classes.select(F.xxhash64("key.a", "key.b").alias("id"), "first", "line"), "classes")
-    gone = later_classes(classes.select("id", "first", "line"), scratch)
-    stay = classes.select("id", "first").join(gone.select(F.col("y").alias("id")), "id", "left_anti")
-    return scratch.write(stay.groupBy("first.doc").agg(F.sort_array(F.collect_list("first.pos")).alias("kept")), "kept")
+    classes = spread(docs).groupBy("line").agg(F.min(F.struct("doc", "pos")).alias("first"))
+    classes = scratch.write(classes.select("first.doc", "first.pos", "line"), "classes")
+    stay = classes.select("doc", "pos").join(later_classes(classes, scratch), ["doc", "pos"], "left_anti")
+    kept = scratch.write(stay.groupBy("doc").agg(F.sort_array(F.collect_list("pos")).alias("kept")), "kept")
+    scratch.drop(classes)
+    return kept
 
 
 def with_kept(docs: DataFrame) -> DataFrame:
@@ -118,12 +182,12 @@ def with_kept(docs: DataFrame) -> DataFrame:
     d = docs.withColumn("__doc", key).join(kept, "__doc", "left").drop("__doc")
     d = d.withColumn("__kept", F.coalesce("__kept", F.array().cast("array<int>")))
     d = d.withColumn("__lines", F.split("text", "\n"))
-    worded = F.filter("__lines", lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
+    worded = F.filter("__lines", lambda x: F.btrim(x, F.lit(BLANK)) != "")
     return d.withColumn("__removed", F.coalesce(F.size(worded) - F.size("__kept"), F.lit(0)))
 
 
 def new_text() -> Column:
-    bare = lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) == ""
+    bare = lambda x: F.btrim(x, F.lit(BLANK)) == ""
     left = F.filter("__lines", lambda x, i: bare(x) | F.array_contains("__kept", i))
     return F.when(F.col("__removed") > 0, F.array_join(left, "\n")).otherwise(F.col("text"))
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, chunk_column, chunk_count, table
+from .common import Scratch, chunk_column, chunk_count, free_name, table
 from .exchange import BASE2, Tokens, U, chunked, raw, shard_bounds
 
 WINDOW = 20
@@ -156,6 +156,17 @@ def spans_of(found: pa.Table) -> dict[int, tuple[np.ndarray, ...]]:
     one = order[began == np.arange(len(began))]  # of two places the earlier
     doc, start, ref_doc, ref_start = (x[one] for x in (doc, start, ref_doc, ref_start))
     ids, at = np.unique(doc, return_index=True)
+    # A place that the chunk found first may itself start earlier elsewhere: that place counts.
+    code = (np.searchsorted(ids, doc) << 32) + start
+    k = np.searchsorted(ids, ref_doc)
+    known = k < len(ids)
+    known[known] = ids[k[known]] == ref_doc[known]
+    to = np.searchsorted(code, (k << 32) + ref_start)
+    known &= to < len(code)
+    known[known] = code[to[known]] == ((k << 32) + ref_start)[known]
+    ref_doc, ref_start = ref_doc.copy(), ref_start.copy()
+    first_doc, first_start = ref_doc[to[known]], ref_start[to[known]]
+    ref_doc[known], ref_start[known] = first_doc, first_start
     return {int(d): (start[a:b], ref_doc[a:b], ref_start[a:b]) for d, a, b in zip(ids, at, np.r_[at[1:], len(doc)], strict=True)}
 
 
@@ -212,6 +223,6 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             texts.append(text if own is None or text is None else b" ".join(cover(text.encode().split(), own, window)[0]).decode())
         return d.select(names).set_column(names.index("text"), "text", pa.array(texts, pa.string()))
 
-    chunk = "__chunk"
+    chunk = free_name(names, "chunk")
     dealt = docs.withColumn(chunk, chunk_column("doc_id", chunks))
     return dealt.groupBy(chunk).cogroup(found.groupBy("chunk")).applyInArrow(cut, T.StructType(schema.fields))
