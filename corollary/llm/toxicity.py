@@ -192,31 +192,37 @@ def term_candidates(text: str) -> set[str]:
     return out
 
 
-def once_each(texts: list[str]) -> list[set[str]]:
-    """Term candidates of texts; of copies and near copies, which share the three smallest hashes of their words, of one only."""
+def once_each(texts: list[str]) -> list[str]:
+    """Of copies and near copies, which share the three smallest hashes of their words, one only."""
     out = {}
     for x in texts:
         words = set(x.lower().encode().split())
         out.setdefault(tuple(sorted(word_hashes(list(words)).tolist())[:3]), x)
-    return [term_candidates(x) for x in out.values()]
+    return list(out.values())
 
 
 def lexicon(toxic: list[str], clean: list[str]) -> list[str]:
     """Terms of toxic and next to no clean texts, chosen until each toxic text that can be has three.
 
     The next term is the one in most texts that lack some; of terms in about the same texts the longest.
+    Terms are made anew for each text as it is read, so that only counts are held.
     """
     found = once_each(toxic)
-    seen = Counter(t for c in found for t in c)
+    seen: Counter = Counter()
+    for x in found:
+        seen.update(term_candidates(x))
     least = max(3, 0.005 * len(found))
-    seen = {t: n for t, n in seen.items() if n >= least}
-    other = Counter(t for c in once_each(clean) for t in c & seen.keys())
+    seen = Counter({t: n for t, n in seen.items() if n >= least})
+    other: Counter = Counter()
+    for x in once_each(clean):
+        other.update(t for t in term_candidates(x) if t in seen)
     total = len(clean) + 1
     good = {t for t, n in seen.items() if (n / len(found)) / ((other[t] + 0.5) / total) >= 20}
-    texts = {t: set() for t in good}
-    for k, c in enumerate(found):
-        for t in c & good:
-            texts[t].add(k)
+    texts: dict[str, set[int]] = {t: set() for t in good}
+    for k, x in enumerate(found):
+        for t in term_candidates(x):
+            if t in texts:
+                texts[t].add(k)
     lacks = dict.fromkeys(range(len(found)), 3)
     chosen: list[str] = []
     while len(chosen) < LEXICON:
