@@ -293,7 +293,7 @@ def test_levenshtein_trie():
 
 def test_toxicity(spark, docs, empty):
     rng, rows, labels = random.Random(8), [], []
-    plain = [f"w{a}{b}" for a in "abcdefgh" for b in ("ol", "er", "an")]
+    plain = [f"w{a}{b}{c}" for a in "abcdefgh" for b in "aeiouy" for c in "lmnrstuvwz"]
     for k in range(600):
         text = [rng.choice(plain) for _ in range(60)]
         toxic = k % 5 == 0
