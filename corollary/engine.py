@@ -88,6 +88,7 @@ class Engine:
         self.spark, self.vocabulary, self.source = spark, vocabulary, source
         self.rewriting, self.squaring, self.persist = rewriting, squaring, persist
         self._lock, self._read = threading.Lock(), {}
+        self.work = 0  # rows that queries with a budget have derived
         served = set(source.relations())
         for path in vocabulary.base_order:
             if path not in served:
@@ -176,6 +177,8 @@ class Engine:
         if bound and len(select) < len(columns):
             df, lanes = self._fill(df, lanes, columns, bound)
         df = ordered(df, lanes, columns, list(q.order_by), q.limit, q.offset)
+        with self._lock:
+            self.work += deriver.work.used
         if not provenance.cites and CITES in df.columns:
             df = df.drop(CITES)
         return Answer(df, lanes, columns, deriver.work.used, deriver.rounds)
