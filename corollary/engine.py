@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
 import tempfile
 import threading
 from collections.abc import Callable
@@ -108,6 +110,7 @@ class Engine:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             where = tempfile.mkdtemp(prefix="corollary-")
+            atexit.register(shutil.rmtree, where, ignore_errors=True)
         sc.setCheckpointDir(where)
 
     def base(self, path: str, provenance: Provenance) -> Rel:
