@@ -50,6 +50,8 @@ SLIM = [
     ("turn", "conversations", "conv_id, turn, role", "conv turn role"),
 ]
 TABLES = "region nation customer supplier part orders lineitem events documents labels benchmark pages conversations".split()
+#: Keys, which are never absent.
+KEYS = "rk nk c s o p e d i conv turn line user parent child a b".split()
 NUMBERS = {"balance": "", "total": "", "q": "", "x": "", "size": "", "value": ""}
 
 MODULE = """
@@ -74,17 +76,17 @@ def source(spark: SparkSession, sf_dir: str) -> FrameSource:
                 d = d.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
             return d.selectExpr(*[f"{c.strip()} AS {n}" for c, n in zip(_columns(columns), names, strict=True)])
 
-        out.add(path, slim, names, types)
+        out.add(path, slim, names, types, required=KEYS)
     for t in TABLES:
         df = read(t)
-        out.add(f"table.{t}", df, df.columns)
+        out.add(f"table.{t}", df, df.columns, required=[c for c in df.columns if c.endswith("key")])
     # Part numbers as a heap-shaped tree, and each user's events in order.
-    out.add("tree.edge", lambda: read("part").filter("p_partkey > 0").selectExpr("CAST(floor((p_partkey - 1) / 2) AS BIGINT) AS parent", "p_partkey AS child"), ["parent", "child"])
+    out.add("tree.edge", lambda: read("part").filter("p_partkey > 0").selectExpr("CAST(floor((p_partkey - 1) / 2) AS BIGINT) AS parent", "p_partkey AS child"), ["parent", "child"], required=KEYS)
     order = Window.partitionBy("user_id").orderBy("ts")
-    out.add("event.next", lambda: read("events").select(F.col("event_id").alias("a"), F.lead("event_id").over(order).alias("b")).filter("b IS NOT NULL"), ["a", "b"])
+    out.add("event.next", lambda: read("events").select(F.col("event_id").alias("a"), F.lead("event_id").over(order).alias("b")).filter("b IS NOT NULL"), ["a", "b"], required=KEYS)
     out.add("neighbour_text", lambda: read("region").selectExpr("CAST(r_regionkey AS STRING) AS t", "CAST(r_regionkey AS STRING) AS size"), ["t", "size"])
     # Every supplier number leads to the next below and, at the end, back: a ring.
-    out.add("ring.edge", lambda: read("supplier").filter("s_suppkey < 12").select(F.col("s_suppkey").alias("a"), F.pmod(F.col("s_suppkey") + 1, F.lit(12)).alias("b")), ["a", "b"])
+    out.add("ring.edge", lambda: read("supplier").filter("s_suppkey < 12").select(F.col("s_suppkey").alias("a"), F.pmod(F.col("s_suppkey") + 1, F.lit(12)).alias("b")), ["a", "b"], required=KEYS)
     return out
 
 

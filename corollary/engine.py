@@ -129,7 +129,8 @@ class Engine:
         lanes = []
         for k in range(schema.arity):
             unit = schema.types[k].unit if k < len(schema.types) else ""
-            lanes.append(lane_of(df.schema[f"c{k}"].dataType, unit))
+            column = df.schema[f"c{k}"]
+            lanes.append(replace(lane_of(column.dataType, unit), sure=not column.nullable or schema.label(k) in schema.required))
         columns = [f"c{k}" for k in range(schema.arity)]
         if not provenance.any:
             return Rel(df.select(*columns), lanes)

@@ -12,6 +12,9 @@ from .bodies import CITES, WITNESSES, Bindings
 from .lanes import TEXT, Cell, Lane, compare, literal, number
 
 
+COUNT = replace(number("bigint"), sure=True)
+
+
 def tidy(cites: Column) -> Column:
     """Citations as a sorted set, without empty ones."""
     return F.array_sort(F.array_distinct(F.filter(cites, lambda c: c.isNotNull() & (c != ""))))
@@ -20,10 +23,10 @@ def tidy(cites: Column) -> Column:
 def aggregate_column(a: Aggregate, cell: Cell) -> tuple[Column, Lane]:
     if a.func == "count":
         if a.distinct:
-            return F.count_distinct(F.when(cell.text != "", cell.text) if cell.lane.kind != "num" else cell.c), number("bigint")
-        return F.count(F.lit(1)), number("bigint")
+            return F.count_distinct(F.when(cell.text != "", cell.text) if cell.lane.kind != "num" else cell.c), COUNT
+        return F.count(F.lit(1)), COUNT
     if a.func == "list":
-        return _list(a, cell), TEXT
+        return _list(a, cell), replace(TEXT, sure=True)
     blank = lambda dtype: Lane("num", cell.lane.unit, dtype, blank=True)
     if cell.lane.kind == "text":
         return F.max(F.lit(None).cast("double")), blank("double")

@@ -16,7 +16,7 @@ from ..plans.check import mode_met
 from ..plans.ir import Atom, Body, Literal, Term, shown
 from ..plans.vocabulary import Builtin
 from ..values import Value
-from .lanes import ANY, Cell, Lane, compare, is_constant, literal, same
+from .lanes import ANY, Cell, Lane, compare, is_constant, joined, literal, same
 
 _fresh = itertools.count()
 CITES, WITNESS, WITNESSES = "cites", "witness", "witnesses"
@@ -202,6 +202,8 @@ class BodyPlanner:
             if self.provenance.witnesses:
                 df = df.withColumn(WITNESSES, F.concat(WITNESSES, F.array(F.struct(F.lit(lit.at).alias("at"), F.col(wit).alias("w")))))
         names, lanes = dict(b.names), dict(b.lanes)
+        for v in shared:
+            lanes[v] = replace(lanes[v], sure=lanes[v].sure or s.lanes[v].sure)
         for v in new:
             names[v], lanes[v] = s.names[v], s.lanes[v]
         extra = [c for c in (CITES, WITNESSES) if c in df.columns]
@@ -213,8 +215,8 @@ class BodyPlanner:
         left, right, on = b.df, s.df, None
         for v in shared:
             x, y = b.cell(v), s.cell(v)
-            if x.lane.kind == y.lane.kind != "any" and not (x.lane.blank or y.lane.blank):
-                one = x.c.eqNullSafe(y.c)
+            if (one := joined(x, y)) is not None:
+                pass
             elif x.lane.canonical and y.lane.canonical:
                 k1, k2 = fresh("k"), fresh("k")
                 left, right = left.withColumn(k1, x.key), right.withColumn(k2, y.key)

@@ -14,7 +14,7 @@ from ..plans.check import Checker
 from ..plans.ir import Rule
 from .answers import grouped, tidy
 from .bodies import CITES, WITNESS, WITNESSES, BodyPlanner, Provenance, Rel
-from .lanes import ANY, Cell, Lane, merged
+from .lanes import ANY, Cell, Lane, joined, merged
 
 
 class Work:
@@ -78,14 +78,15 @@ def as_set(rel: Rel) -> Rel:
 
 def not_in(rel: Rel, old: Rel) -> DataFrame:
     """Tuples that the old relation lacks."""
-    names = [f"k{k}" for k in range(len(rel.lanes))]
-    key = lambda r: [(c.key if c.lane.any else c.c) for c in map(r.cell, range(len(r.lanes)))]
-    new = rel.df.select("*", *[c.alias(n) for n, c in zip(names, key(rel), strict=True)])
-    seen = old.df.select(*[c.alias(f"o{n}") for n, c in zip(names, key(old), strict=True)])
-    on = F.lit(True)
-    for k, n in enumerate(names):
-        on = F.col(n).eqNullSafe(F.col(f"o{n}")) if k == 0 else on & F.col(n).eqNullSafe(F.col(f"o{n}"))
-    return new.join(seen, on, "left_anti").drop(*names)
+    new, seen, on = rel.df, old.df.select(*[F.col(f"c{k}").alias(f"o{k}") for k in range(len(old.lanes))]), F.lit(True)
+    for k, lane in enumerate(rel.lanes):
+        mine, theirs = rel.cell(k), Cell(F.col(f"o{k}"), old.lanes[k])
+        one = joined(mine, theirs)
+        if one is None:
+            new, seen = new.withColumn(f"k{k}", mine.key), seen.withColumn(f"l{k}", theirs.key)
+            one = F.col(f"k{k}").eqNullSafe(F.col(f"l{k}"))
+        on = one if k == 0 else on & one
+    return new.join(seen, on, "left_anti").select(*rel.df.columns)
 
 
 class Deriver:

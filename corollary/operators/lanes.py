@@ -26,6 +26,7 @@ class Lane:
     dtype: str = "string"  # the Spark type of a number
     blank: bool = False
     canonical: bool = True  # numbers' texts are their canonical ones
+    sure: bool = False  # never absent, so that plain equality joins it
 
     @property
     def any(self) -> bool:
@@ -169,12 +170,14 @@ def merged(a: Lane, b: Lane) -> Lane:
     """The lane that holds values of both."""
     if a == b:
         return a
+    sure = a.sure and b.sure
     if a.kind == b.kind != "any" and a.unit == b.unit and a.blank == b.blank:
         if a.kind == "text":
-            return a
+            return replace(a, sure=sure)
         wide = [d for d in ("tinyint", "smallint", "int", "bigint") if d in (a.dtype, b.dtype)]
         both_whole = a.dtype in _INTEGRAL and b.dtype in _INTEGRAL
-        return replace(a, dtype=wide[-1] if both_whole else "double", canonical=a.canonical and b.canonical)
+        dtype = a.dtype if a.dtype == b.dtype else wide[-1] if both_whole else "double"
+        return replace(a, dtype=dtype, canonical=a.canonical and b.canonical, sure=sure)
     return Lane("any", canonical=a.canonical and b.canonical, dtype="any")
 
 
@@ -183,14 +186,22 @@ def literal(v: Value) -> Cell:
     if v.absent:
         return Cell(F.lit(None).cast("string"), TEXT)
     if v.num is None:
-        return Cell(F.lit(v.s), TEXT)
+        return Cell(F.lit(v.s), replace(TEXT, sure=True))
     if v.canonical:
         whole = v.num.is_integer() and abs(v.num) < 2**53
-        return Cell(F.lit(int(v.num)).cast("bigint"), number("bigint", v.unit)) if whole else Cell(F.lit(v.num), number("double", v.unit))
+        lane = replace(number("bigint" if whole else "double", v.unit), sure=True)
+        return Cell(F.lit(int(v.num)).cast("bigint") if whole else F.lit(v.num), lane)
     mixed = F.struct(F.lit(v.s).alias("s"), F.lit(v.num).alias("num"), F.lit(False).alias("absent"), F.lit(v.unit).alias("unit"))
     return Cell(mixed, Lane("any", canonical=False, dtype="any"))
 
 
+def joined(a: Cell, b: Cell) -> Column | None:
+    """Sameness of columns of one native type as a join condition; plain equality unless both may be absent.  None for other lanes."""
+    if a.lane.kind != b.lane.kind or a.lane.any or a.lane.blank or b.lane.blank:
+        return None
+    return a.c == b.c if a.lane.sure or b.lane.sure else a.c.eqNullSafe(b.c)
+
+
 def same(a: Cell, b: Cell) -> Column:
     """Sameness as unification sees it; never NULL."""
     if a.lane.kind == b.lane.kind == "text" or (a.lane.kind == b.lane.kind == "num" and not (a.lane.blank or b.lane.blank)):

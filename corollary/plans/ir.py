@@ -256,6 +256,7 @@ class Schema:
     labels: list[str] = field(default_factory=list)
     types: list[ArgType] = field(default_factory=list)
     doc: str = ""
+    required: list[str] = field(default_factory=list)  # labels of arguments that are never absent
 
     def label(self, k: int) -> str:
         return self.labels[k] if k < len(self.labels) and self.labels[k] else f"arg{k}"

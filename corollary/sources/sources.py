@@ -30,11 +30,12 @@ class FrameSource:
     schemas: dict[str, Schema] = field(default_factory=dict)
     no_vocabulary_hint: str = ""
 
-    def add(self, path: str, frame: DataFrame | Callable[[], DataFrame], labels: list[str] | None = None, types: list[ArgType] | None = None, doc: str = "") -> FrameSource:
+    def add(self, path: str, frame: DataFrame | Callable[[], DataFrame], labels: list[str] | None = None, types: list[ArgType] | None = None, doc: str = "", required: list[str] | None = None) -> FrameSource:
+        """Serves a relation; `required` names arguments that are never absent, which joins then rely on."""
         if labels is None:
             labels = [c for c in frame.columns if c != CITES]
         self.frames[path] = frame
-        self.schemas[path] = Schema(len(labels), list(labels), list(types or ()), doc)
+        self.schemas[path] = Schema(len(labels), list(labels), list(types or ()), doc, list(required or ()))
         return self
 
     def relations(self) -> list[str]:
@@ -91,10 +92,10 @@ class MemSource:
             there = [v for v in values if not v.absent]
             declared = schema.types[k].unit if k < len(schema.types) else ""
             if there and all(v.num is not None and v.canonical and v.unit in ("", declared) for v in there):
-                fields.append(T.StructField(f"c{k}", T.DoubleType()))
+                fields.append(T.StructField(f"c{k}", T.DoubleType(), len(there) < len(values)))
                 takes.append(lambda v: v.num)
             elif all(v.num is None for v in there):
-                fields.append(T.StructField(f"c{k}", T.StringType()))
+                fields.append(T.StructField(f"c{k}", T.StringType(), len(there) < len(values)))
                 takes.append(lambda v: None if v.absent else v.s)
             else:
                 fields.append(T.StructField(f"c{k}", ANY))
