@@ -1,0 +1,34 @@
+"""The parts of the exchange that have exact round trips."""
+
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from corollary.llm.common import word_hashes
+from corollary.llm.exchange import BASE, BASE2, U, shard_bounds, squeeze, unsqueeze, window_hashes
+
+NUMBERS = st.lists(st.integers(0, 2**64 - 1), max_size=200)
+
+
+@settings(deadline=None)
+@given(NUMBERS, st.integers(1, 50))
+def test_round_trips(numbers, shards):
+    keys = np.array(sorted(numbers), U)
+    small = np.array([n >> 1 for n in numbers], np.int64)
+    assert unsqueeze(squeeze(small)).tolist() == small.tolist()
+    at = shard_bounds(keys, shards)
+    assert at[0] == 0 and at[-1] == len(keys) and len(at) == shards + 1
+    for s in range(shards):
+        assert all(int(k) * shards >> 64 == s or (int(k) == (s << 64) // shards) for k in keys[at[s] : at[s + 1]].tolist()) or shards & (shards - 1)
+
+
+@settings(deadline=None)
+@given(st.lists(st.sampled_from([b"a", b"b", b"c"]), max_size=60), st.integers(1, 8))
+def test_windows_are_equal_when_their_words_are(words, n):
+    h = word_hashes(words)
+    for base in (BASE, BASE2):
+        got = window_hashes(h, n, base).tolist() if len(h) >= n else []
+        seen = {}
+        for k, x in enumerate(got):
+            assert seen.setdefault(tuple(words[k : k + n]), x) == x
+        assert len(set(got)) == len(seen) and len(got) == max(0, len(words) - n + 1)
