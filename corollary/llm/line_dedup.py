@@ -3,14 +3,14 @@
 Equal lines are one class, known by its first place.  The words of a class are ordered by rarity (counts in
 hash buckets, a table of fixed size; equal counts by hash, so that the order is total).  Two sets of
 similarity 0.8 or more share a word among the rarest n - ceil(0.8 n) + 1 of each; the join on such words
-keeps pairs that pass the length filter, the positional filter and a bound from 64-bit sketches of the sets,
+keeps pairs that pass the length filter, the positional filter and a bound from 256-bit sketches of the sets,
 which no similar pair can fail.  What is left is verified on the full sets.
 
 A line goes if an earlier line of the input (smaller doc_id, or the same document and further up) is
-similar.  One earlier line is enough, so classes are first held against the earliest class with the same two
-of their three rarest words, which settles most members of a group of near copies with one comparison each.
-Only classes that find none there meet all earlier classes of their prefix, in passes over ranges of words
-that bound the disk in use.
+similar.  One earlier line is enough, so classes are first held against two that share a minimum over all
+but the commonest words: the earliest and the most copied.  That settles most members of a group of near copies with
+two comparisons each.  Only classes that find none there meet all earlier classes of their prefix, in passes
+over ranges of words that bound the disk in use.
 
 Defined results: words are compared in lower case; lines without words stay where they are and match
 nothing; a null text stays null; a document whose lines all go keeps an empty text; rows that share a
@@ -19,6 +19,7 @@ doc_id share places, so the same line in both stays; a null doc_id comes first;
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import Column, DataFrame
@@ -27,8 +28,9 @@ from pyspark.sql import functions as F
 from .common import WORD_GAP, Scratch
 
 SIMILARITY_PERCENT = 80
-PASSES = 3  # over ranges of words
-SKETCHES = 4  # of a class's set, 64 bits each
+COMMON = 1000  # a word that makes up more than one in so many is common
+PASSES = 5  # over ranges of words
+PARTS = ["sketch0", "sketch1", "sketch2", "sketch3"]  # of a class's sketch, 64 bits each, for a quarter of its words
 BITS = 16  # of the hash that a rarity bucket has
 FIRST = -(1 << 63)
 BLANK = " \t\n\x0b\x0c\r"
@@ -54,33 +56,50 @@ def spread(docs: DataFrame) -> DataFrame:
     return text.filter(F.btrim("line", F.lit(BLANK)) != "")
 
 
-def rarity(classes: DataFrame) -> list[int]:
-    """For each hash bucket how often its words occur in classes, in quarters of an octave."""
+def level(n: int) -> int:
+    """A count in quarters of an octave, 1 and more."""
+    octave = int(n).bit_length() - 1
+    return min(126, 1 + 4 * octave + ((4 * n) >> octave) - 4)
+
+
+def rarity(classes: DataFrame) -> tuple[list[int], int]:
+    """For each hash bucket how often its words occur in classes, and from where words are common, as levels."""
     counts = classes.select(F.explode(words_in("line")).alias("w")).groupBy(bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("n"))
-    level = [0] * (1 << BITS)
+    levels, total = [0] * (1 << BITS), 0
     for r in counts.collect():  # one row a bucket
-        octave = int(r["n"]).bit_length() - 1
-        level[r["b"]] = min(126, 1 + 4 * octave + ((4 * r["n"]) >> octave) - 4)
-    return level
+        levels[r["b"]] = level(r["n"])
+        total += r["n"]
+    return levels, level(max(1, total // COMMON))
+
 
+#: Constants that give each minimum an order of its own.
+ORDERS = [int.from_bytes(hashlib.blake2b(bytes([k]), digest_size=7).digest(), "big") for k in range(4)]
 
-def ranked(classes: DataFrame, levels: list[int]) -> DataFrame:
-    """Of each class (doc, pos): the size of its set, 64-bit sketches of it, and the words of its prefix, rarest first."""
+
+def ranked(classes: DataFrame, levels: list[int], common: int) -> DataFrame:
+    """Of each class (doc, pos): the size of its set, a sketch of it in four parts of 64 bits, and the words of its prefix, rarest first."""
     table = F.from_json(F.lit(json.dumps(levels, separators=(",", ":"))), "array<bigint>")
     # Rarity in the highest bits, so that one sort of plain numbers orders by it.
     words = F.transform(F.transform(words_in("line"), lambda w: F.xxhash64(w)), lambda h: F.shiftleft(F.get(table, bucket(h)), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))))
     c = classes.withColumn("words", F.sort_array(F.array_distinct(words)))
     one = F.lit(1).cast("long")
-    sketch = lambda low: F.aggregate("words", F.lit(0).cast("long"), lambda a, h: a.bitwiseOR(F.call_function("shiftleft", one, F.shiftright(h, low).bitwiseAND(F.lit(63)).cast("int"))))
+    bit = lambda h: F.call_function("shiftleft", one, F.shiftright(h, 2).bitwiseAND(F.lit(63)).cast("int"))
+    sketch = lambda k: F.aggregate("words", F.lit(0).cast("long"), lambda a, h: F.when(h.bitwiseAND(F.lit(3)) == k, a.bitwiseOR(bit(h))).otherwise(a))
     # n - ceil(0.8 n) + 1
     keep = F.col("n") - F.ceil(F.col("n") * SIMILARITY_PERCENT / 100).cast("int") + 1
-    c = c.select("doc", "pos", F.size("words").alias("n"), *[sketch(6 * k).alias(f"sketch{k}") for k in range(SKETCHES)], "words")
+    # Minima of all but the commonest words under four orders, alone and two together: keys that near copies mostly share.
+    some = F.filter("words", lambda h: h < F.lit(common << 56))
+    under = lambda v: lambda h: h.bitwiseAND(F.lit((1 << 56) - 1)).bitwiseXOR(F.lit(v))
+    least = [F.array_min(F.transform(some, under(v))) for v in ORDERS]
+    c = c.withColumn("least", F.array(*least))
+    keys = F.array(*[F.xxhash64(F.lit(k), *[F.get("least", F.lit(x)) for x in xs]) for k, xs in enumerate(((0,), (1,), (2,), (3,), (0, 1), (2, 3)))])
+    c = c.select("doc", "pos", "copies", keys.alias("keys"), F.size("words").alias("n"), *[sketch(k).alias(p) for k, p in enumerate(PARTS)], "words")
     return c.withColumn("words", F.slice("words", 1, keep))
 
 
 def prefixes(ranks: DataFrame) -> DataFrame:
-    """A row for each word of a class's prefix: (word, doc, pos, n, at, sketch0)."""
-    return ranks.select("doc", "pos", "n", "sketch0", F.posexplode("words").alias("at", "word")).select("word", "doc", "pos", "n", "at", "sketch0")
+    """A row for each word of a class's prefix: (word, doc, pos, n, at, sketch)."""
+    return ranks.select("doc", "pos", "n", *PARTS, F.posexplode("words").alias("at", "word"))
 
 
 def needed_overlap(x: str, y: str) -> Column:
@@ -88,13 +107,10 @@ def needed_overlap(x: str, y: str) -> Column:
     return F.ceil((F.col(f"{x}.n") + F.col(f"{y}.n")) * SIMILARITY_PERCENT / (100 + SIMILARITY_PERCENT))
 
 
-def differs_little(x: str, y: str, sketches: list[str]) -> Column:
-    """The sets differ in at least as many words as a sketch of both does in bits."""
-    most = F.col(f"{x}.n") + F.col(f"{y}.n") - 2 * needed_overlap(x, y)
-    out = F.lit(True)
-    for s in sketches:
-        out &= F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) <= most
-    return out
+def differs_little(x: str, y: str) -> Column:
+    """Two sets differ in at least as many words as their sketches do in bits; similar ones differ in few."""
+    bits = sum((F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in PARTS), F.lit(0))
+    return bits <= F.col(f"{x}.n") + F.col(f"{y}.n") - 2 * needed_overlap(x, y)
 
 
 def earlier(x: str, y: str) -> Column:
@@ -106,7 +122,7 @@ def may_be_similar(x: str, y: str) -> Column:
     c = lambda side, name: F.col(f"{side}.{name}")
     size = (100 * c(x, "n") >= SIMILARITY_PERCENT * c(y, "n")) & (100 * c(y, "n") >= SIMILARITY_PERCENT * c(x, "n"))
     place = 1 + F.least(c(x, "n") - 1 - c(x, "at"), c(y, "n") - 1 - c(y, "at")) >= needed_overlap(x, y)
-    return size & place & differs_little(x, y, ["sketch0"])
+    return size & place & differs_little(x, y)
 
 
 def pairs(x: DataFrame, y: DataFrame) -> DataFrame:
@@ -115,26 +131,16 @@ def pairs(x: DataFrame, y: DataFrame) -> DataFrame:
     return both.select(F.col("x.doc").alias("xd"), F.col("x.pos").alias("xp"), F.col("y.doc").alias("yd"), F.col("y.pos").alias("yp")).distinct()
 
 
-def sketched(found: DataFrame, ranks: DataFrame) -> DataFrame:
-    """The pairs that the other sketches let pass too."""
-    more = [f"sketch{k}" for k in range(1, SKETCHES)]
-    for side in "xy":
-        own = ranks.select(F.col("doc").alias(f"{side}d"), F.col("pos").alias(f"{side}p"), F.struct("n", *more).alias(side))
-        found = found.join(own, [f"{side}d", f"{side}p"])
-    return found.filter(differs_little("x", "y", more)).select("xd", "xp", "yd", "yp")
-
-
 def hub_pairs(ranks: DataFrame) -> DataFrame:
-    """(xd, xp, yd, yp): classes with the earliest class that has two of their three rarest words among its own."""
-    w = lambda k: F.get("words", F.lit(k))
-    two = F.when(F.size("words") == 2, F.array(F.xxhash64(w(0), w(1)))).otherwise(F.array(F.xxhash64(w(0))))
-    keys = F.when(F.size("words") > 2, F.array(F.xxhash64(w(0), w(1)), F.xxhash64(w(0), w(2)), F.xxhash64(w(1), w(2)))).otherwise(two)
-    own = ["doc", "pos", "n", *[f"sketch{k}" for k in range(SKETCHES)]]
-    rows = ranks.select(*own, F.explode(keys).alias("word"))
-    hubs = rows.groupBy("word").agg(F.count("*").alias("times"), F.min(F.struct(*own)).alias("x")).filter("times > 1").select("word", "x.*")
+    """(xd, xp, yd, yp): classes with earlier ones of the same key: the earliest and the most copied."""
+    own = ["doc", "pos", "n", *PARTS]
+    rows = ranks.select("copies", *own, F.explode("keys").alias("word"))
+    first, most = F.min(F.struct(*own)).alias("first"), F.max(F.struct("copies", *own)).alias("most")
+    hubs = rows.groupBy("word").agg(F.count("*").alias("times"), first, most).filter("times > 1")
+    hubs = hubs.select("word", "first.*").unionByName(hubs.select("word", *[F.col(f"most.{c}").alias(c) for c in own])).distinct()
     both = rows.alias("y").join(hubs.alias("x"), F.col("x.word") == F.col("y.word")).filter(earlier("x", "y"))
     size = (100 * F.col("x.n") >= SIMILARITY_PERCENT * F.col("y.n")) & (100 * F.col("y.n") >= SIMILARITY_PERCENT * F.col("x.n"))
-    both = both.filter(size & differs_little("x", "y", [f"sketch{k}" for k in range(SKETCHES)]))
+    both = both.filter(size & differs_little("x", "y"))
     return both.select(F.col("x.doc").alias("xd"), F.col("x.pos").alias("xp"), F.col("y.doc").alias("yd"), F.col("y.pos").alias("yp")).distinct()
 
 
@@ -149,7 +155,7 @@ def verified(found: DataFrame, classes: DataFrame) -> DataFrame:
 
 def later_classes(classes: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc, pos): classes with an earlier similar class."""
-    ranks = scratch.write(ranked(classes, rarity(classes)), "ranks")
+    ranks = scratch.write(ranked(classes, *rarity(classes)), "ranks")
     near = scratch.write(hub_pairs(ranks), "pairs")
     found = scratch.write(verified(near, classes), "found")
     # The rest meets every earlier class of a shared word.
@@ -159,17 +165,16 @@ def later_classes(classes: DataFrame, scratch: Scratch) -> DataFrame:
         part = F.pmod("word", F.lit(PASSES)) == k
         some = scratch.write(pairs(prefixes(ranks).filter(part), prefixes(rest).filter(part)), "pairs")
         far = some if far is None else far.unionByName(some)
-    passed = scratch.write(sketched(far.distinct(), ranks), "sketched")
-    more = scratch.write(verified(passed, classes), "found")
-    scratch.drop(ranks, rest, near, passed)
-    return found.unionByName(more)
+    last = scratch.write(verified(far.distinct(), classes), "found")
+    scratch.drop(ranks, rest, near)
+    return found.unionByName(last)
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
     """(doc, kept): by document the places of the lines with words that stay."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    classes = spread(docs).groupBy("line").agg(F.min(F.struct("doc", "pos")).alias("first"))
-    classes = scratch.write(classes.select("first.doc", "first.pos", "line"), "classes")
+    classes = spread(docs).groupBy("line").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("copies"))
+    classes = scratch.write(classes.select("first.doc", "first.pos", "line", "copies"), "classes")
     stay = classes.select("doc", "pos").join(later_classes(classes, scratch), ["doc", "pos"], "left_anti")
     kept = scratch.write(stay.groupBy("doc").agg(F.sort_array(F.collect_list("pos")).alias("kept")), "kept")
     scratch.drop(classes)
