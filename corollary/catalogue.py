@@ -85,8 +85,12 @@ def source(spark: SparkSession, sf_dir: str) -> FrameSource:
     order = Window.partitionBy("user_id").orderBy("ts")
     out.add("event.next", lambda: read("events").select(F.col("event_id").alias("a"), F.lead("event_id").over(order).alias("b")).filter("b IS NOT NULL"), ["a", "b"], required=KEYS)
     out.add("neighbour_text", lambda: read("region").selectExpr("CAST(r_regionkey AS STRING) AS t", "CAST(r_regionkey AS STRING) AS size"), ["t", "size"])
-    # Every supplier number leads to the next below and, at the end, back: a ring.
+    # Supplier numbers under 12 as one ring, each leading to the next and the last back; with fewer suppliers it stays open.
     out.add("ring.edge", lambda: read("supplier").filter("s_suppkey < 12").select(F.col("s_suppkey").alias("a"), F.pmod(F.col("s_suppkey") + 1, F.lit(12)).alias("b")), ["a", "b"], required=KEYS)
+    # All suppliers in rings of twelve at most: each leads to the next of its ring, the last to the first.
+    ring = Window.partitionBy(F.floor(F.col("s_suppkey") / 12)).orderBy("s_suppkey")
+    after = F.coalesce(F.lead("s_suppkey").over(ring), F.first("s_suppkey").over(ring))
+    out.add("rings.edge", lambda: read("supplier").select(F.col("s_suppkey").alias("a"), after.alias("b")), ["a", "b"], required=KEYS)
     return out
 
 
@@ -140,6 +144,8 @@ TREE_SQL = """WITH RECURSIVE e AS (SELECT CAST((p_partkey - 1) // 2 AS BIGINT) A
 under(a, b) AS (SELECT a, b FROM e UNION SELECT u.a, e.b FROM under u JOIN e ON u.b = e.a) """
 RING_SQL = """WITH RECURSIVE e AS (SELECT s_suppkey AS a, (s_suppkey + 1) % 12 AS b FROM supplier WHERE s_suppkey < 12),
 r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) """
+RINGS_SQL = """WITH RECURSIVE e AS (SELECT s_suppkey AS a, coalesce(lead(s_suppkey) OVER w, first_value(s_suppkey) OVER w) AS b FROM supplier WINDOW w AS (PARTITION BY s_suppkey // 12 ORDER BY s_suppkey)),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) """
 CUSTOMER_REGION = "customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
 
 ITEMS: dict[str, Item] = {
@@ -212,6 +218,7 @@ ITEMS: dict[str, Item] = {
     "mutual_even_odd": Item("odd(?a, ?b) :- tree.edge(?a, ?b); odd(?a, ?c) :- even_(?a, ?b), tree.edge(?b, ?c); even_(?a, ?c) :- odd(?a, ?b), tree.edge(?b, ?c); even_(0, ?b) => ?b", TREE_SQL.replace("under(a, b)", "under(a, b, d)").replace("SELECT a, b FROM e UNION SELECT u.a, e.b FROM", "SELECT a, b, 1 FROM e UNION SELECT u.a, e.b, 1 - u.d FROM") + "SELECT b FROM under WHERE a = 0 AND d = 0"),
     "same_generation": Item("sg(?x, ?y) :- tree.edge(?p, ?x), tree.edge(?p, ?y); sg(?x, ?y) :- tree.edge(?p, ?x), sg(?p, ?q), tree.edge(?q, ?y); sg(20, ?y) => ?y", "WITH RECURSIVE g AS (SELECT p_partkey AS k, CAST(floor(log2(p_partkey + 1)) AS INT) AS d FROM part) SELECT k AS y FROM g WHERE d = 4"),
     "cyclic_closure": Item("r(?a, ?b) :- ring.edge(?a, ?b); r(?a, ?c) :- r(?a, ?b), ring.edge(?b, ?c); r(?a, ?b) => ?a, ?b", RING_SQL + "SELECT a, b FROM r"),
+    "cyclic_closure_all": Item("r(?a, ?b) :- rings.edge(?a, ?b); r(?a, ?c) :- r(?a, ?b), rings.edge(?b, ?c); r(?a, ?b) => ?a, ?b", RINGS_SQL + "SELECT a, b FROM r"),
     "recursion_then_not": Item(TREE + "tree.edge(_, ?b), not under(3, ?b) => ?b", TREE_SQL + "SELECT DISTINCT b FROM e WHERE b NOT IN (SELECT b FROM under WHERE a = 3)"),
     "recursion_compare": Item("up(?a, ?b) :- tree.edge(?a, ?b), ?b < 500; up(?a, ?c) :- up(?a, ?b), tree.edge(?b, ?c), ?c < 500; up(?a, ?b) => ?a, ?b", TREE_SQL + "SELECT a, b FROM under WHERE b < 500"),
     "user_paths": Item("before(?a, ?b) :- event.next(?a, ?b); before(?a, ?c) :- before(?a, ?b), event.next(?b, ?c); before(?a, ?b) => count(?a)", "SELECT CAST(sum(n * (n - 1) // 2) AS BIGINT) AS n FROM (SELECT count(*) AS n FROM events GROUP BY user_id)", {"count(a)": "n"}),
