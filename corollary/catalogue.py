@@ -146,6 +146,8 @@ RING_SQL = """WITH RECURSIVE e AS (SELECT s_suppkey AS a, (s_suppkey + 1) % 12 A
 r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) """
 RINGS_SQL = """WITH RECURSIVE e AS (SELECT s_suppkey AS a, coalesce(lead(s_suppkey) OVER w, first_value(s_suppkey) OVER w) AS b FROM supplier WINDOW w AS (PARTITION BY s_suppkey // 12 ORDER BY s_suppkey)),
 r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) """
+GROWING_SQL = """WITH RECURSIVE e AS (SELECT p.p_partkey AS a, c.p_partkey AS b FROM part p JOIN part c ON c.p_partkey > 0 AND (c.p_partkey - 1) // 2 = p.p_partkey AND p.p_size < c.p_size),
+up(a, b) AS (SELECT a, b FROM e UNION SELECT up.a, e.b FROM up JOIN e ON up.b = e.a) """
 CUSTOMER_REGION = "customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
 
 ITEMS: dict[str, Item] = {
@@ -221,6 +223,7 @@ ITEMS: dict[str, Item] = {
     "cyclic_closure_all": Item("r(?a, ?b) :- rings.edge(?a, ?b); r(?a, ?c) :- r(?a, ?b), rings.edge(?b, ?c); r(?a, ?b) => ?a, ?b", RINGS_SQL + "SELECT a, b FROM r"),
     "recursion_then_not": Item(TREE + "tree.edge(_, ?b), not under(3, ?b) => ?b", TREE_SQL + "SELECT DISTINCT b FROM e WHERE b NOT IN (SELECT b FROM under WHERE a = 3)"),
     "recursion_compare": Item("up(?a, ?b) :- tree.edge(?a, ?b), ?b < 500; up(?a, ?c) :- up(?a, ?b), tree.edge(?b, ?c), ?c < 500; up(?a, ?b) => ?a, ?b", TREE_SQL + "SELECT a, b FROM under WHERE b < 500"),
+    "recursion_compare_all": Item("up(?a, ?b) :- tree.edge(?a, ?b), part.size(?a, ?x), part.size(?b, ?y), ?x < ?y; up(?a, ?c) :- up(?a, ?b), tree.edge(?b, ?c), part.size(?b, ?x), part.size(?c, ?y), ?x < ?y; up(?a, ?b) => ?a, ?b", GROWING_SQL + "SELECT a, b FROM up"),
     "user_paths": Item("before(?a, ?b) :- event.next(?a, ?b); before(?a, ?c) :- before(?a, ?b), event.next(?b, ?c); before(?a, ?b) => count(?a)", "SELECT CAST(sum(n * (n - 1) // 2) AS BIGINT) AS n FROM (SELECT count(*) AS n FROM events GROUP BY user_id)", {"count(a)": "n"}),
     # predicates
     "str_contains": Item('part.name(?p, ?name), str.contains(?name, "l b") => ?p, ?name', "SELECT DISTINCT p_partkey AS p, p_name AS name FROM part WHERE contains(p_name, 'l b')"),

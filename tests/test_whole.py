@@ -36,3 +36,10 @@ def test_cycles_of_all_suppliers(spark, duck):
     rows = same_as_sql(spark, duck, "cyclic_closure_all")
     suppliers = {k for (k,) in duck.execute("SELECT s_suppkey FROM supplier").fetchall()}
     assert {a for a, b in rows if a == b} == suppliers and len(suppliers) > 12
+
+
+def test_comparisons_in_a_recursion_over_all_parts(spark, duck):
+    rows = same_as_sql(spark, duck, "recursion_compare_all")
+    whole = duck.execute(catalogue.oracle_sql()["closure_all"]).fetchall()
+    assert max(b for _, b in rows) > 500 and set(rows) < set(whole)
+    assert any((b - 1) // 2 != a for a, b in rows)
