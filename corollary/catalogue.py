@@ -217,6 +217,7 @@ ITEMS: dict[str, Item] = {
     "closure_to_const": Item(TREE + "under(?a, 90) => ?a", TREE_SQL + "SELECT a FROM under WHERE b = 90"),
     "right_linear": Item("r(?a, ?b) :- tree.edge(?a, ?b); r(?a, ?c) :- tree.edge(?a, ?b), r(?b, ?c); r(2, ?x) => ?x", TREE_SQL + "SELECT b AS x FROM under WHERE a = 2"),
     "nonlinear_closure": Item("r(?a, ?b) :- tree.edge(?a, ?b); r(?a, ?c) :- r(?a, ?b), r(?b, ?c); r(?a, ?b), ?b < 40 => ?a, ?b", TREE_SQL + "SELECT a, b FROM under WHERE b < 40"),
+    "nonlinear_closure_all": Item("r(?a, ?b) :- tree.edge(?a, ?b); r(?a, ?c) :- r(?a, ?b), r(?b, ?c); r(?a, ?b) => ?a, ?b", TREE_SQL + "SELECT a, b FROM under"),
     "mutual_even_odd": Item("odd(?a, ?b) :- tree.edge(?a, ?b); odd(?a, ?c) :- even_(?a, ?b), tree.edge(?b, ?c); even_(?a, ?c) :- odd(?a, ?b), tree.edge(?b, ?c); even_(0, ?b) => ?b", TREE_SQL.replace("under(a, b)", "under(a, b, d)").replace("SELECT a, b FROM e UNION SELECT u.a, e.b FROM", "SELECT a, b, 1 FROM e UNION SELECT u.a, e.b, 1 - u.d FROM") + "SELECT b FROM under WHERE a = 0 AND d = 0"),
     "same_generation": Item("sg(?x, ?y) :- tree.edge(?p, ?x), tree.edge(?p, ?y); sg(?x, ?y) :- tree.edge(?p, ?x), sg(?p, ?q), tree.edge(?q, ?y); sg(20, ?y) => ?y", "WITH RECURSIVE g AS (SELECT p_partkey AS k, CAST(floor(log2(p_partkey + 1)) AS INT) AS d FROM part) SELECT k AS y FROM g WHERE d = 4"),
     "cyclic_closure": Item("r(?a, ?b) :- ring.edge(?a, ?b); r(?a, ?c) :- r(?a, ?b), ring.edge(?b, ?c); r(?a, ?b) => ?a, ?b", RING_SQL + "SELECT a, b FROM r"),

@@ -43,3 +43,9 @@ def test_comparisons_in_a_recursion_over_all_parts(spark, duck):
     whole = duck.execute(catalogue.oracle_sql()["closure_all"]).fetchall()
     assert max(b for _, b in rows) > 500 and set(rows) < set(whole)
     assert any((b - 1) // 2 != a for a, b in rows)
+
+
+def test_the_whole_nonlinear_closure(spark, duck):
+    rows = same_as_sql(spark, duck, "nonlinear_closure_all")
+    parts = {k for (k,) in duck.execute("SELECT p_partkey FROM part WHERE p_partkey > 0").fetchall()}
+    assert {b for _, b in rows} == parts and len(rows) == 17964
