@@ -11,13 +11,14 @@ Two rounds keep the exchange small: the first asks only whether a window's 64-bi
 the second sends a second hash and places for those that are.
 
 Defined results: words are kept as they are; a null or empty text has no words and is kept; documents
-shorter than a window lose nothing; rows that repeat a doc_id are at the same place, so neither takes words
-from the other; a null id comes before all others; extra columns survive where documents are returned.
+shorter than a window lose nothing; rows that repeat a doc_id are at the same places, so neither takes words
+from the other at the same start, and each loses only windows of its own; a null id comes before all others; extra columns survive where documents are returned.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, chunk_column, chunk_count, free_name, table
-from .exchange import BASE2, Tokens, U, chunked, raw, shard_bounds
+from .common import Scratch, chunk_column, chunk_count, free_name, table, word_hashes
+from .exchange import BASE, BASE2, Tokens, U, chunked, raw, shard_bounds, window_hashes
 
 WINDOW = 20
 NULL_ID = -(1 << 63)
 ASK = pa.schema([("chunk", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary())])
 SHARED = pa.schema([("chunk", pa.int32()), ("shard", pa.int32()), ("shared", pa.binary())])
 PLACES = pa.schema([("chunk", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("keys2", pa.binary()), ("doc", pa.binary()), ("start", pa.binary())])
-#: Windows with an earlier place: document, start, and the reference's document and start.
-FOUND = pa.schema([("chunk", pa.int32()), ("doc", pa.binary()), ("start", pa.binary()), ("ref_doc", pa.binary()), ("ref_start", pa.binary())])
+#: Windows with an earlier place: document, start, hash, and the reference's document and start.
+FOUND = pa.schema([("chunk", pa.int32()), ("doc", pa.binary()), ("start", pa.binary()), ("key", pa.binary()), ("ref_doc", pa.binary()), ("ref_start", pa.binary())])
 SPANS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("n_factors", pa.int64())])
 
 
@@ -102,7 +103,7 @@ def places(n: int, shards: int):
                 key, key2, doc, start, away = (x[order] for x in (key, key2, doc, start, away))
                 later = (doc != doc[began]) | (start != start[began])
                 if later.any():
-                    add(chunk, -1, None, None, np.c_[doc, doc[began]][later].astype("<i8").tobytes(), np.c_[start, start[began]][later].astype("<i4").tobytes())
+                    add(chunk, -1, key[later].astype("<u8").tobytes(), None, np.c_[doc, doc[began]][later].astype("<i8").tobytes(), np.c_[start, start[began]][later].astype("<i4").tobytes())
                 first = (began == np.arange(len(began))) & away
                 key, key2, doc, start = (x[first] for x in (key, key2, doc, start))
                 at = shard_bounds(key, shards)
@@ -119,16 +120,16 @@ def find_first(told: pa.Table) -> pa.Table:
     r = told.to_pydict()
     if r["shard"][0] < 0:
         pairs = [(np.frombuffer(d, "<i8").reshape(-1, 2), np.frombuffer(s, "<i4").reshape(-1, 2)) for d, s in zip(r["doc"], r["start"], strict=True)]
-        return table({"chunk": r["chunk"], "doc": [d[:, 0].tobytes() for d, _ in pairs], "start": [s[:, 0].tobytes() for _, s in pairs], "ref_doc": [d[:, 1].tobytes() for d, _ in pairs], "ref_start": [s[:, 1].tobytes() for _, s in pairs]}, FOUND)
+        return table({"chunk": r["chunk"], "doc": [d[:, 0].tobytes() for d, _ in pairs], "start": [s[:, 0].tobytes() for _, s in pairs], "key": r["keys"], "ref_doc": [d[:, 1].tobytes() for d, _ in pairs], "ref_start": [s[:, 1].tobytes() for _, s in pairs]}, FOUND)
     key, key2 = (np.concatenate([raw(b) for b in r[c]]) for c in ("keys", "keys2"))
     doc, start = np.concatenate([raw(b, "<i8") for b in r["doc"]]), np.concatenate([raw(b, "<i4") for b in r["start"]])
     source = np.repeat(np.arange(len(r["chunk"])), [len(b) // 8 for b in r["keys"]])
     order, began = first_of((start, doc, key2, key), (key, key2))
-    doc, start, source = doc[order], start[order], source[order]
+    doc, start, key, source = doc[order], start[order], key[order], source[order]
     later = (doc != doc[began]) | (start != start[began])
     rows = {c: [] for c in FOUND.names}
     by_source = np.argsort(source[later], kind="stable")
-    parts = [x[later][by_source] for x in (source, doc, start, doc[began], start[began])]
+    parts = [x[later][by_source] for x in (source, doc, start, key, doc[began], start[began])]
     edges = np.searchsorted(parts[0], np.arange(len(r["chunk"]) + 1))
     for k, chunk in enumerate(r["chunk"]):
         lo, hi = edges[k], edges[k + 1]
@@ -149,25 +150,53 @@ def parse(start: np.ndarray, ref_doc: np.ndarray, ref_start: np.ndarray, n: int)
 
 
 def spans_of(found: pa.Table) -> dict[int, tuple[np.ndarray, ...]]:
-    """Windows with an earlier place by document, in order of start."""
+    """Windows with an earlier place by document, in order of start: start, the reference's document and start, hash."""
     r = found.to_pydict()
-    doc, start, ref_doc, ref_start = (np.concatenate([*(raw(b, k) for b in r[c]), np.empty(0, k)]) for c, k in (("doc", "<i8"), ("start", "<i4"), ("ref_doc", "<i8"), ("ref_start", "<i4")))
-    order, began = first_of((ref_start, ref_doc, start, doc), (doc, start))
+    doc, start, key, ref_doc, ref_start = (np.concatenate([*(raw(b, k) for b in r[c]), np.empty(0, k)]) for c, k in (("doc", "<i8"), ("start", "<i4"), ("key", "<u8"), ("ref_doc", "<i8"), ("ref_start", "<i4")))
+    order, began = first_of((ref_start, ref_doc, key, start, doc), (doc, start, key))
     one = order[began == np.arange(len(began))]  # of two places the earlier
-    doc, start, ref_doc, ref_start = (x[one] for x in (doc, start, ref_doc, ref_start))
+    doc, start, key, ref_doc, ref_start = (x[one] for x in (doc, start, key, ref_doc, ref_start))
     ids, at = np.unique(doc, return_index=True)
     # A place that the chunk found first may itself start earlier elsewhere: that place counts.
-    code = (np.searchsorted(ids, doc) << 32) + start
+    places, nth = np.unique((np.searchsorted(ids, doc) << 32) + start, return_inverse=True)
+    keys, of = np.unique(key, return_inverse=True)
+    code = nth * len(keys) + of  # rows of one id may have several windows at a place
     k = np.searchsorted(ids, ref_doc)
     known = k < len(ids)
     known[known] = ids[k[known]] == ref_doc[known]
-    to = np.searchsorted(code, (k << 32) + ref_start)
+    place = (k << 32) + ref_start
+    to = np.searchsorted(places, place)
+    known &= to < len(places)
+    known[known] = places[to[known]] == place[known]
+    want = to * len(keys) + of
+    to = np.searchsorted(code, want)
     known &= to < len(code)
-    known[known] = code[to[known]] == ((k << 32) + ref_start)[known]
+    known[known] = code[to[known]] == want[known]
     ref_doc, ref_start = ref_doc.copy(), ref_start.copy()
     first_doc, first_start = ref_doc[to[known]], ref_start[to[known]]
     ref_doc[known], ref_start[known] = first_doc, first_start
-    return {int(d): (start[a:b], ref_doc[a:b], ref_start[a:b]) for d, a, b in zip(ids, at, np.r_[at[1:], len(doc)], strict=True)}
+    return {int(d): (start[a:b], ref_doc[a:b], ref_start[a:b], key[a:b]) for d, a, b in zip(ids, at, np.r_[at[1:], len(doc)], strict=True)}
+
+
+def by_row(doc_ids: list[int | None], found: pa.Table, n: int):
+    """A function from a row's id and words to its own windows with an earlier place."""
+    spans = spans_of(found)
+    rows = Counter(NULL_ID if d is None else d for d in doc_ids)
+
+    def own(doc: int | None, words: list[bytes]) -> tuple[np.ndarray, ...] | None:
+        doc = NULL_ID if doc is None else doc
+        if doc not in spans:
+            return None
+        start, ref_doc, ref_start, key = spans[doc]
+        if rows[doc] == 1:
+            return start, ref_doc, ref_start
+        # Windows found in other rows of the id do not count.
+        hashes = window_hashes(word_hashes(words), n, BASE) if len(words) >= n else np.empty(0, U)
+        mine = start < len(hashes)
+        mine[mine] = hashes[start[mine]] == key[mine]
+        return (start[mine], ref_doc[mine], ref_start[mine]) if mine.any() else None
+
+    return own
 
 
 def cover(words: list[bytes], spans: tuple[np.ndarray, ...] | None, n: int) -> tuple[list[bytes], int, int]:
@@ -199,10 +228,10 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     found = found_windows(docs, window, chunks, scratch)
 
     def digest(d: pa.Table, f: pa.Table) -> pa.Table:
-        spans, rows = spans_of(f), {c: [] for c in SPANS.names}
+        own, rows = by_row(d.column("doc_id").to_pylist(), f, window), {c: [] for c in SPANS.names}
         for doc, text in zip(d.column("doc_id").to_pylist(), d.column("text"), strict=True):
             words = text.as_py().encode().split()
-            kept, removed, factors = cover(words, spans.get(NULL_ID if doc is None else doc), window)
+            kept, removed, factors = cover(words, own(doc, words), window)
             for c, v in zip(SPANS.names, (doc, len(words), removed, hashlib.sha256(b" ".join(kept)).hexdigest(), factors), strict=True):
                 rows[c].append(v)
         return table(rows, SPANS)
@@ -217,10 +246,12 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     names, schema = docs.columns, docs.schema
 
     def cut(d: pa.Table, f: pa.Table) -> pa.Table:
-        spans, texts = spans_of(f), []
-        for doc, text in zip(d.column("doc_id").to_pylist(), d.column("text").to_pylist(), strict=True):
-            own = spans.get(NULL_ID if doc is None else doc)
-            texts.append(text if own is None or text is None else b" ".join(cover(text.encode().split(), own, window)[0]).decode())
+        ids, texts = d.column("doc_id").to_pylist(), []
+        own = by_row(ids, f, window)
+        for doc, text in zip(ids, d.column("text").to_pylist(), strict=True):
+            words = (text or "").encode().split()
+            spans = own(doc, words)
+            texts.append(text if spans is None else b" ".join(cover(words, spans, window)[0]).decode())
         return d.select(names).set_column(names.index("text"), "text", pa.array(texts, pa.string()))
 
     chunk = free_name(names, "chunk")
