@@ -14,7 +14,7 @@ over ranges of words that bound the disk in use.
 
 Defined results: words are compared in lower case; lines without words stay where they are and match
 nothing; a null text stays null; a document whose lines all go keeps an empty text; rows that share a
-doc_id share places, so the same line in both stays; a null doc_id comes first; other columns stay.
+doc_id share places, so the same line at the same place of both stays, and each loses only lines of its own; a null doc_id comes first; other columns stay.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import WORD_GAP, Scratch
 
@@ -50,9 +51,9 @@ def bucket(h: Column) -> Column:
     return F.shiftrightunsigned(h, 64 - BITS).cast("int")
 
 
-def spread(docs: DataFrame) -> DataFrame:
-    """Lines with words: (doc, pos, line), doc never null."""
-    text = docs.select(F.coalesce("doc_id", F.lit(FIRST)).alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+def spread(docs: DataFrame, *more: Column) -> DataFrame:
+    """Lines with words: (doc, pos, line), doc never null, and more of their rows."""
+    text = docs.select(F.coalesce("doc_id", F.lit(FIRST)).alias("doc"), *more, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return text.filter(F.btrim("line", F.lit(BLANK)) != "")
 
 
@@ -113,8 +114,18 @@ def differs_little(x: str, y: str) -> Column:
     return bits <= F.col(f"{x}.n") + F.col(f"{y}.n") - 2 * needed_overlap(x, y)
 
 
-def earlier(x: str, y: str) -> Column:
-    return (F.col(f"{x}.doc") < F.col(f"{y}.doc")) | ((F.col(f"{x}.doc") == F.col(f"{y}.doc")) & (F.col(f"{x}.pos") < F.col(f"{y}.pos")))
+def repeats(docs: DataFrame) -> bool:
+    """Whether rows share an id."""
+    return not docs.groupBy(F.coalesce("doc_id", F.lit(FIRST)).alias("doc")).count().filter("count > 1").isEmpty()
+
+
+def place(classes: DataFrame) -> str:
+    """The column with a class's place in its document; where rows share ids, pos has the line's hash beside it."""
+    return "pos.place" if isinstance(classes.schema["pos"].dataType, T.StructType) else "pos"
+
+
+def earlier(x: str, y: str, pos: str) -> Column:
+    return (F.col(f"{x}.doc") < F.col(f"{y}.doc")) | ((F.col(f"{x}.doc") == F.col(f"{y}.doc")) & (F.col(f"{x}.{pos}") < F.col(f"{y}.{pos}")))
 
 
 def may_be_similar(x: str, y: str) -> Column:
@@ -127,7 +138,7 @@ def may_be_similar(x: str, y: str) -> Column:
 
 def pairs(x: DataFrame, y: DataFrame) -> DataFrame:
     """(xd, xp, yd, yp): an earlier class x and a later class y that may be similar, each pair once."""
-    both = y.alias("y").join(x.alias("x"), F.col("x.word") == F.col("y.word")).filter(earlier("x", "y")).filter(may_be_similar("x", "y"))
+    both = y.alias("y").join(x.alias("x"), F.col("x.word") == F.col("y.word")).filter(earlier("x", "y", place(x))).filter(may_be_similar("x", "y"))
     return both.select(F.col("x.doc").alias("xd"), F.col("x.pos").alias("xp"), F.col("y.doc").alias("yd"), F.col("y.pos").alias("yp")).distinct()
 
 
@@ -138,7 +149,7 @@ def hub_pairs(ranks: DataFrame) -> DataFrame:
     first, most = F.min(F.struct(*own)).alias("first"), F.max(F.struct("copies", *own)).alias("most")
     hubs = rows.groupBy("word").agg(F.count("*").alias("times"), first, most).filter("times > 1")
     hubs = hubs.select("word", "first.*").unionByName(hubs.select("word", *[F.col(f"most.{c}").alias(c) for c in own])).distinct()
-    both = rows.alias("y").join(hubs.alias("x"), F.col("x.word") == F.col("y.word")).filter(earlier("x", "y"))
+    both = rows.alias("y").join(hubs.alias("x"), F.col("x.word") == F.col("y.word")).filter(earlier("x", "y", place(ranks)))
     size = (100 * F.col("x.n") >= SIMILARITY_PERCENT * F.col("y.n")) & (100 * F.col("y.n") >= SIMILARITY_PERCENT * F.col("x.n"))
     both = both.filter(size & differs_little("x", "y"))
     return both.select(F.col("x.doc").alias("xd"), F.col("x.pos").alias("xp"), F.col("y.doc").alias("yd"), F.col("y.pos").alias("yp")).distinct()
@@ -170,21 +181,29 @@ def later_classes(classes: DataFrame, scratch: Scratch) -> DataFrame:
     return found.unionByName(last)
 
 
-def kept_lines(docs: DataFrame) -> DataFrame:
-    """(doc, kept): by document the places of the lines with words that stay."""
+def kept_lines(docs: DataFrame, shared: bool) -> DataFrame:
+    """(doc, kept): by document the places of the lines with words that stay; where rows share ids, (doc, row, kept) with the hash of the row's text."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
     classes = spread(docs).groupBy("line").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("copies"))
-    classes = scratch.write(classes.select("first.doc", "first.pos", "line", "copies"), "classes")
+    pos = F.struct(F.col("first.pos").alias("place"), F.xxhash64("line").alias("hash")).alias("pos") if shared else F.col("first.pos")
+    classes = scratch.write(classes.select("first.doc", pos, "line", "copies"), "classes")
     stay = classes.select("doc", "pos").join(later_classes(classes, scratch), ["doc", "pos"], "left_anti")
-    kept = scratch.write(stay.groupBy("doc").agg(F.sort_array(F.collect_list("pos")).alias("kept")), "kept")
+    by = ["doc"]
+    if shared:
+        by = ["doc", "row"]
+        own = spread(docs, F.xxhash64("text").alias("row")).select(*by, F.struct(F.col("pos").alias("place"), F.xxhash64("line").alias("hash")).alias("pos")).distinct()
+        stay = own.join(stay, ["doc", "pos"]).select(*by, F.col("pos.place").alias("pos"))
+    kept = scratch.write(stay.groupBy(*by).agg(F.sort_array(F.collect_list("pos")).alias("kept")), "kept")
     scratch.drop(classes)
     return kept
 
 
 def with_kept(docs: DataFrame) -> DataFrame:
-    key = F.coalesce("doc_id", F.lit(FIRST))
-    kept = kept_lines(docs).withColumnRenamed("doc", "__doc").withColumnRenamed("kept", "__kept")
-    d = docs.withColumn("__doc", key).join(kept, "__doc", "left").drop("__doc")
+    shared = repeats(docs)
+    key = {"__doc": F.coalesce("doc_id", F.lit(FIRST))} | ({"__row": F.xxhash64("text")} if shared else {})
+    kept = kept_lines(docs, shared)
+    kept = kept.select(*[F.col(c).alias(f"__{c}") for c in kept.columns])
+    d = docs.withColumns(key).join(kept, [*key], "left").drop(*key)
     d = d.withColumn("__kept", F.coalesce("__kept", F.array().cast("array<int>")))
     d = d.withColumn("__lines", F.split("text", "\n"))
     worded = F.filter("__lines", lambda x: F.btrim(x, F.lit(BLANK)) != "")

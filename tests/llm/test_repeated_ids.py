@@ -4,7 +4,7 @@ import hashlib
 
 import pytest
 
-from corollary.llm import substring_dedup
+from corollary.llm import line_dedup, substring_dedup
 
 
 def numbered(name, n):
@@ -35,3 +35,28 @@ def test_substring_dedup_by_row(spark, empty, chunks, monkeypatch):
     assert sorted(got, key=repr) == sorted(((d, hashlib.sha256(" ".join(k).encode()).hexdigest()) for d, k in want), key=repr)
     got = [(r["doc_id"], r["text"].split()) for r in substring_dedup.remove(docs).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_line_dedup_by_row(spark, empty):
+    w = lambda name, n=10: " ".join(numbered(name, n))
+    near = lambda name: w(name) + " other"
+    rows = [
+        (None, [w("a"), w("b")]), (None, [w("c"), "", near("a")]), (1, [w("d"), near("b"), w("e")]),
+        (5, [w("f"), w("g")]), (5, [w("h"), w("i"), w("j")]), (5, [near("f"), near("d"), w("f")]), (5, [w("f"), w("g")]), (5, None), (6, [near("j"), w("k")]),
+    ]
+    flat = [(-1 if d is None else d, k, frozenset(x.split())) for d, lines in rows for k, x in enumerate(lines or []) if x]
+    want = []
+    for d, lines in rows:
+        place, kept = -1 if d is None else d, []
+        for k, x in enumerate(lines or []):
+            s = frozenset(x.split())
+            if not s or not any((e, j) < (place, k) and 100 * len(s & t) >= 80 * len(s | t) for e, j, t in flat):
+                kept.append(x)
+        n = sum(bool(x) for x in lines or [])
+        want.append((d, n, n - sum(bool(x) for x in kept), None if lines is None else "\n".join(kept)))
+    assert [r for _, _, r, _ in want] == [0, 1, 1, 0, 0, 2, 0, 0, 1]
+    docs = spark.createDataFrame([(d, lines and "\n".join(lines)) for d, lines in rows], "doc_id long, text string").repartition(3)
+    got = [(r["doc_id"], r["n_lines"], r["n_removed"], r["kept_sha256"]) for r in line_dedup.digests(docs).collect()]
+    assert sorted(got, key=repr) == sorted(((d, n, r, hashlib.sha256((t or "").encode()).hexdigest()) for d, n, r, t in want), key=repr)
+    got = [(r["doc_id"], r["text"]) for r in line_dedup.remove(docs).collect()]
+    assert sorted(got, key=repr) == sorted(((d, t) for d, _, _, t in want), key=repr)
