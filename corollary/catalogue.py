@@ -82,6 +82,8 @@ def source(spark: SparkSession, sf_dir: str) -> FrameSource:
         out.add(f"table.{t}", df, df.columns, required=[c for c in df.columns if c.endswith("key")])
     # Part numbers as a heap-shaped tree, and each user's events in order.
     out.add("tree.edge", lambda: read("part").filter("p_partkey > 0").selectExpr("CAST(floor((p_partkey - 1) / 2) AS BIGINT) AS parent", "p_partkey AS child"), ["parent", "child"], required=KEYS)
+    # All parts in heaps of fifteen at most, whose generations stay small.
+    out.add("heaps.edge", lambda: read("part").filter("p_partkey % 15 > 0").selectExpr("CAST(p_partkey - p_partkey % 15 + floor((p_partkey % 15 - 1) / 2) AS BIGINT) AS parent", "p_partkey AS child"), ["parent", "child"], required=KEYS)
     order = Window.partitionBy("user_id").orderBy("ts")
     out.add("event.next", lambda: read("events").select(F.col("event_id").alias("a"), F.lead("event_id").over(order).alias("b")).filter("b IS NOT NULL"), ["a", "b"], required=KEYS)
     out.add("neighbour_text", lambda: read("region").selectExpr("CAST(r_regionkey AS STRING) AS t", "CAST(r_regionkey AS STRING) AS size"), ["t", "size"])
@@ -148,6 +150,8 @@ RINGS_SQL = """WITH RECURSIVE e AS (SELECT s_suppkey AS a, coalesce(lead(s_suppk
 r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) """
 GROWING_SQL = """WITH RECURSIVE e AS (SELECT p.p_partkey AS a, c.p_partkey AS b FROM part p JOIN part c ON c.p_partkey > 0 AND (c.p_partkey - 1) // 2 = p.p_partkey AND p.p_size < c.p_size),
 up(a, b) AS (SELECT a, b FROM e UNION SELECT up.a, e.b FROM up JOIN e ON up.b = e.a) """
+HEAPS_SQL = """WITH RECURSIVE e AS (SELECT CAST(p_partkey - p_partkey % 15 + (p_partkey % 15 - 1) // 2 AS BIGINT) AS a, p_partkey AS b FROM part WHERE p_partkey % 15 > 0),
+sg(x, y) AS (SELECT f.b, g.b FROM e f JOIN e g ON f.a = g.a UNION SELECT f.b, g.b FROM sg JOIN e f ON sg.x = f.a JOIN e g ON sg.y = g.a) """
 CUSTOMER_REGION = "customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
 
 ITEMS: dict[str, Item] = {
@@ -220,6 +224,7 @@ ITEMS: dict[str, Item] = {
     "nonlinear_closure_all": Item("r(?a, ?b) :- tree.edge(?a, ?b); r(?a, ?c) :- r(?a, ?b), r(?b, ?c); r(?a, ?b) => ?a, ?b", TREE_SQL + "SELECT a, b FROM under"),
     "mutual_even_odd": Item("odd(?a, ?b) :- tree.edge(?a, ?b); odd(?a, ?c) :- even_(?a, ?b), tree.edge(?b, ?c); even_(?a, ?c) :- odd(?a, ?b), tree.edge(?b, ?c); even_(0, ?b) => ?b", TREE_SQL.replace("under(a, b)", "under(a, b, d)").replace("SELECT a, b FROM e UNION SELECT u.a, e.b FROM", "SELECT a, b, 1 FROM e UNION SELECT u.a, e.b, 1 - u.d FROM") + "SELECT b FROM under WHERE a = 0 AND d = 0"),
     "same_generation": Item("sg(?x, ?y) :- tree.edge(?p, ?x), tree.edge(?p, ?y); sg(?x, ?y) :- tree.edge(?p, ?x), sg(?p, ?q), tree.edge(?q, ?y); sg(20, ?y) => ?y", "WITH RECURSIVE g AS (SELECT p_partkey AS k, CAST(floor(log2(p_partkey + 1)) AS INT) AS d FROM part) SELECT k AS y FROM g WHERE d = 4"),
+    "same_generation_all": Item("sg(?x, ?y) :- heaps.edge(?p, ?x), heaps.edge(?p, ?y); sg(?x, ?y) :- heaps.edge(?p, ?x), sg(?p, ?q), heaps.edge(?q, ?y); sg(?x, ?y) => ?x, count(?y)", HEAPS_SQL + "SELECT x, count(*) AS n FROM sg GROUP BY 1", {"count(y)": "n"}),
     "cyclic_closure": Item("r(?a, ?b) :- ring.edge(?a, ?b); r(?a, ?c) :- r(?a, ?b), ring.edge(?b, ?c); r(?a, ?b) => ?a, ?b", RING_SQL + "SELECT a, b FROM r"),
     "cyclic_closure_all": Item("r(?a, ?b) :- rings.edge(?a, ?b); r(?a, ?c) :- r(?a, ?b), rings.edge(?b, ?c); r(?a, ?b) => ?a, ?b", RINGS_SQL + "SELECT a, b FROM r"),
     "recursion_then_not": Item(TREE + "tree.edge(_, ?b), not under(3, ?b) => ?b", TREE_SQL + "SELECT DISTINCT b FROM e WHERE b NOT IN (SELECT b FROM under WHERE a = 3)"),

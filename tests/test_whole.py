@@ -49,3 +49,9 @@ def test_the_whole_nonlinear_closure(spark, duck):
     rows = same_as_sql(spark, duck, "nonlinear_closure_all")
     parts = {k for (k,) in duck.execute("SELECT p_partkey FROM part WHERE p_partkey > 0").fetchall()}
     assert {b for _, b in rows} == parts and len(rows) == 17964
+
+
+def test_generations_of_all_parts(spark, duck):
+    rows = same_as_sql(spark, duck, "same_generation_all")
+    below_a_root = {k for (k,) in duck.execute("SELECT p_partkey FROM part WHERE p_partkey % 15 > 0").fetchall()}
+    assert {x for x, _ in rows} == below_a_root and {n for _, n in rows} >= {2, 4, 8}
