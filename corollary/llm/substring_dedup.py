@@ -1,11 +1,10 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
+"""Substring dedup by exact lookup of hashed windows, with factors in the manner of relative Lempel-Ziv.
 
 The reference is the corpus itself, indexed in blocks: each block owns a range of hashed windows (20 words)
-and knows the first place of every window.  A document asks all blocks about its windows and is then parsed
-greedily: at a window that has an earlier place the factor runs on for as long as the following windows lie
-next to each other in the reference as well.  A factor that is long enough - a window at least - is a
-duplicate span, and the parse tries anew at every word after a factor's last window, so a repeated window
-across a factor's boundary is found too.
+and knows the first place of every window.  A document asks all blocks about its windows, and the words that
+windows with an earlier place cover go.  Factors are read off afterwards and only counted: a factor runs on for
+as long as the following windows' first places lie next to each other.  No factor is extended against the
+reference's text and none is the longest match: a window first seen elsewhere ends it.
 
 Two rounds keep the exchange small: the first asks only whether a window's 64-bit hash is in another chunk,
 the second sends a second hash and places for those that are.
