@@ -167,6 +167,7 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
 
     Alternating large-star and small-star contraction: each round is a grouped minimum (combined on the
     map side) and an equi-join, so no group is gathered anywhere; rounds grow with the log of the size.
+    Edges that still change after all rounds are an error, never an answer.
     """
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
     e = scratch.write(e, "edges")
@@ -186,5 +187,7 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
         if tuple(sums) == last:
             break
         last = tuple(sums)
+    else:
+        raise RuntimeError(f"components have not settled in {rounds} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
