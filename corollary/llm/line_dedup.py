@@ -1,20 +1,24 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions only.
 
-Equal lines are one class, known by its first place.  The words of a class are ordered by rarity (counts in
-hash buckets, a table of fixed size; equal counts by hash, so that the order is total).  Two sets of
-similarity 0.8 or more share a word among the rarest n - ceil(0.8 n) + 1 of each; the join on such words
-keeps pairs that pass the length filter, the positional filter and a bound from 256-bit sketches of the sets,
-which no similar pair can fail.  What is left is verified on the full sets.
+Lines with the same set of words are one class, known by its first place.  The words of a class are ordered
+by rarity (counts in hash buckets, a table of fixed size; equal counts by hash, so that the order is total).
+Two sets of similarity 0.8 or more share a word among the rarest n - ceil(0.8 n) + 1 of each; the join on such
+words keeps pairs that pass the length filter, the positional filter and a bound on how much their prefixes
+may differ, read from sketches of the prefixes, which no similar pair can fail.  What is left is verified on
+the full sets.
 
 A line goes if an earlier line of the input (smaller doc_id, or the same document and further up) is
-similar.  One earlier line is enough, so classes are first held against two that share a minimum over all
-but the commonest words: the earliest and the most copied.  That settles most members of a group of near copies with
-two comparisons each.  Only classes that find none there meet all earlier classes of their prefix, in passes
+similar.  One earlier line is enough, so classes are first held against two that share a minimum over the rarer
+half of their words: the earliest and the most copied.  That settles most members of a group of near copies with
+a few comparisons each.  Only classes that find none there meet all earlier classes of their prefix, in passes
 over ranges of words that bound the disk in use.
 
+No side of a join here has a bound, so none is broadcast.  Between steps travel hashes, counts and places; of texts only those documents are read again whose lines are to
+be verified.
+
 Defined results: words are compared in lower case; lines without words stay where they are and match
 nothing; a null text stays null; a document whose lines all go keeps an empty text; rows that share a
-doc_id share places, so the same line at the same place of both stays, and each loses only lines of its own; a null doc_id comes first; other columns stay.
+doc_id share places, so lines at the same place of both do not remove one another, and each loses only lines of its own; a null doc_id comes first; other columns stay.
 """
 
 from __future__ import annotations
@@ -24,15 +28,16 @@ import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import WORD_GAP, Scratch
+from .common import WORD_GAP, Scratch, free_name
 
 SIMILARITY_PERCENT = 80
-COMMON = 1000  # a word that makes up more than one in so many is common
 PASSES = 5  # over ranges of words
-PARTS = ["sketch0", "sketch1", "sketch2", "sketch3"]  # of a class's sketch, 64 bits each, for a quarter of its words
 BITS = 16  # of the hash that a rarity bucket has
+HASH = (1 << 56) - 1  # of a word's code; its rarity is above
+PLACE = ["doc", "pos", "c"]  # of a class: its first place, and the hash of its set
+SKETCH = ["sketch0", "sketch1"]  # of a class's rarest words, 64 bits each, for half of them
+MARKS = 18  # bits of the hash that marks words that some class still asks for
 FIRST = -(1 << 63)
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -42,18 +47,17 @@ def words_in(line: str | Column) -> Column:
     return F.split(F.btrim(F.lower(line), F.lit(BLANK)), WORD_GAP)
 
 
-def word_set(line: str | Column) -> Column:
-    """Distinct 64-bit hashes of a line's words."""
-    return F.array_distinct(F.transform(words_in(line), lambda w: F.xxhash64(w)))
-
-
 def bucket(h: Column) -> Column:
     return F.shiftrightunsigned(h, 64 - BITS).cast("int")
 
 
+def key_of(docs: DataFrame) -> Column:
+    return F.coalesce(docs["doc_id"], F.lit(FIRST))
+
+
 def spread(docs: DataFrame, *more: Column) -> DataFrame:
     """Lines with words: (doc, pos, line), doc never null, and more of their rows."""
-    text = docs.select(F.coalesce("doc_id", F.lit(FIRST)).alias("doc"), *more, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    text = docs.select(key_of(docs).alias("doc"), *more, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return text.filter(F.btrim("line", F.lit(BLANK)) != "")
 
 
@@ -63,44 +67,56 @@ def level(n: int) -> int:
     return min(126, 1 + 4 * octave + ((4 * n) >> octave) - 4)
 
 
-def rarity(classes: DataFrame) -> tuple[list[int], int]:
-    """For each hash bucket how often its words occur in classes, and from where words are common, as levels."""
-    counts = classes.select(F.explode(words_in("line")).alias("w")).groupBy(bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("n"))
-    levels, total = [0] * (1 << BITS), 0
+def rarity(docs: DataFrame) -> list[int]:
+    """For each hash bucket how often its words occur, as levels."""
+    counts = docs.select(F.explode(F.split(F.lower("text"), WORD_GAP)).alias("w")).groupBy(bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("n"))
+    levels = [0] * (1 << BITS)
     for r in counts.collect():  # one row a bucket
         levels[r["b"]] = level(r["n"])
-        total += r["n"]
-    return levels, level(max(1, total // COMMON))
+    return levels
 
 
-#: Constants that give each minimum an order of its own.
-ORDERS = [int.from_bytes(hashlib.blake2b(bytes([k]), digest_size=7).digest(), "big") for k in range(4)]
+def word_codes(line: str | Column, levels: list[int]) -> Column:
+    """A line's distinct words as numbers, rarest first: rarity in the highest bits, a hash below."""
+    table = F.from_json(F.lit(json.dumps(levels, separators=(",", ":"))), "array<bigint>")
+    code = lambda h: F.shiftleft(F.get(table, bucket(h)), 56).bitwiseOR(h.bitwiseAND(F.lit(HASH)))
+    return F.sort_array(F.array_distinct(F.transform(F.transform(words_in(line), lambda w: F.xxhash64(w)), code)))
 
 
-def ranked(classes: DataFrame, levels: list[int], common: int) -> DataFrame:
-    """Of each class (doc, pos): the size of its set, a sketch of it in four parts of 64 bits, and the words of its prefix, rarest first."""
-    table = F.from_json(F.lit(json.dumps(levels, separators=(",", ":"))), "array<bigint>")
-    # Rarity in the highest bits, so that one sort of plain numbers orders by it.
-    words = F.transform(F.transform(words_in("line"), lambda w: F.xxhash64(w)), lambda h: F.shiftleft(F.get(table, bucket(h)), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))))
-    c = classes.withColumn("words", F.sort_array(F.array_distinct(words)))
+def prefix_length(n: str | Column) -> Column:
+    """n - ceil(0.8 n) + 1: so many of the rarest words hold one in common with any similar set."""
+    n = F.col(n) if isinstance(n, str) else n
+    return n - F.ceil(n * SIMILARITY_PERCENT / 100).cast("int") + 1
+
+
+def sketch_length(n: str | Column) -> Column:
+    n = F.col(n) if isinstance(n, str) else n
+    return F.least(n, 2 * prefix_length(n) + 8)
+
+
+#: A constant that gives the words an order of its own.
+SHUFFLE = int.from_bytes(hashlib.blake2b(b"order", digest_size=7).digest(), "big")
+
+
+def ranked(docs: DataFrame, levels: list[int]) -> DataFrame:
+    """Of each class: its place, the size of its set, how often it occurs, keys that near copies mostly share, and its prefix with a sketch of it."""
+    c = spread(docs).select("doc", "pos", word_codes("line", levels).alias("words"))
+    c = c.withColumn("n", F.size("words")).withColumn("prefix", F.slice("words", 1, prefix_length("n"))).withColumn("sketched", F.slice("words", 1, sketch_length("n")))
+    rarer = F.slice("words", 1, F.ceil(F.col("n") / 2).cast("int"))
+    for k, order in enumerate((0, SHUFFLE)):
+        c = c.withColumn(f"order{k}", F.transform(rarer, lambda h, v=order: h.bitwiseAND(F.lit(HASH)).bitwiseXOR(F.lit(v))))
+    keys = F.array(*[F.xxhash64(F.lit(k), F.array_min(f"order{k}"), F.array_max(f"order{k}")) for k in (0, 1)])
     one = F.lit(1).cast("long")
-    bit = lambda h: F.call_function("shiftleft", one, F.shiftright(h, 2).bitwiseAND(F.lit(63)).cast("int"))
-    sketch = lambda k: F.aggregate("words", F.lit(0).cast("long"), lambda a, h: F.when(h.bitwiseAND(F.lit(3)) == k, a.bitwiseOR(bit(h))).otherwise(a))
-    # n - ceil(0.8 n) + 1
-    keep = F.col("n") - F.ceil(F.col("n") * SIMILARITY_PERCENT / 100).cast("int") + 1
-    # Minima of all but the commonest words under four orders, alone and two together: keys that near copies mostly share.
-    some = F.filter("words", lambda h: h < F.lit(common << 56))
-    under = lambda v: lambda h: h.bitwiseAND(F.lit((1 << 56) - 1)).bitwiseXOR(F.lit(v))
-    least = [F.array_min(F.transform(some, under(v))) for v in ORDERS]
-    c = c.withColumn("least", F.array(*least))
-    keys = F.array(*[F.xxhash64(F.lit(k), *[F.get("least", F.lit(x)) for x in xs]) for k, xs in enumerate(((0,), (1,), (2,), (3,), (0, 1), (2, 3)))])
-    c = c.select("doc", "pos", "copies", keys.alias("keys"), F.size("words").alias("n"), *[sketch(k).alias(p) for k, p in enumerate(PARTS)], "words")
-    return c.withColumn("words", F.slice("words", 1, keep))
+    bit = lambda h: F.call_function("shiftleft", one, F.shiftright(h, 1).bitwiseAND(F.lit(63)).cast("int"))
+    sketch = lambda k: F.aggregate("sketched", F.lit(0).cast("long"), lambda a, h: F.when(h.bitwiseAND(F.lit(1)) == k, a.bitwiseOR(bit(h))).otherwise(a))
+    c = c.select("doc", "pos", F.xxhash64("words").alias("c"), F.xxhash64(F.lit(1), "words").alias("c2"), "n", keys.alias("keys"), *[sketch(k).alias(s) for k, s in enumerate(SKETCH)], "prefix")
+    same = [F.first(x).alias(x) for x in ("n", "keys", *SKETCH, "prefix")]
+    c = c.groupBy("c", "c2").agg(F.min(F.struct("doc", "pos")).alias("at"), F.count("*").alias("copies"), *same)
+    return c.select("at.doc", "at.pos", "c", "n", "copies", "keys", *SKETCH, "prefix")
 
 
-def prefixes(ranks: DataFrame) -> DataFrame:
-    """A row for each word of a class's prefix: (word, doc, pos, n, at, sketch)."""
-    return ranks.select("doc", "pos", "n", *PARTS, F.posexplode("words").alias("at", "word"))
+def earlier(x: str, y: str) -> Column:
+    return (F.col(f"{x}.doc") < F.col(f"{y}.doc")) | ((F.col(f"{x}.doc") == F.col(f"{y}.doc")) & (F.col(f"{x}.pos") < F.col(f"{y}.pos")))
 
 
 def needed_overlap(x: str, y: str) -> Column:
@@ -108,121 +124,174 @@ def needed_overlap(x: str, y: str) -> Column:
     return F.ceil((F.col(f"{x}.n") + F.col(f"{y}.n")) * SIMILARITY_PERCENT / (100 + SIMILARITY_PERCENT))
 
 
-def differs_little(x: str, y: str) -> Column:
-    """Two sets differ in at least as many words as their sketches do in bits; similar ones differ in few."""
-    bits = sum((F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in PARTS), F.lit(0))
-    return bits <= F.col(f"{x}.n") + F.col(f"{y}.n") - 2 * needed_overlap(x, y)
-
-
-def repeats(docs: DataFrame) -> bool:
-    """Whether rows share an id."""
-    return not docs.groupBy(F.coalesce("doc_id", F.lit(FIRST)).alias("doc")).count().filter("count > 1").isEmpty()
+def sizes_allow(x: str, y: str) -> Column:
+    return (100 * F.col(f"{x}.n") >= SIMILARITY_PERCENT * F.col(f"{y}.n")) & (100 * F.col(f"{y}.n") >= SIMILARITY_PERCENT * F.col(f"{x}.n"))
 
 
-def place(classes: DataFrame) -> str:
-    """The column with a class's place in its document; where rows share ids, pos has the line's hash beside it."""
-    return "pos.place" if isinstance(classes.schema["pos"].dataType, T.StructType) else "pos"
+def lacks(x: str, y: str) -> Column:
+    """Bits of x's sketch that y's has not."""
+    return sum((F.bit_count(F.col(f"{x}.{s}").bitwiseAND(F.bitwise_not(F.col(f"{y}.{s}")))) for s in SKETCH), F.lit(0))
 
 
-def earlier(x: str, y: str, pos: str) -> Column:
-    return (F.col(f"{x}.doc") < F.col(f"{y}.doc")) | ((F.col(f"{x}.doc") == F.col(f"{y}.doc")) & (F.col(f"{x}.{pos}") < F.col(f"{y}.{pos}")))
+def sketches_allow(x: str, y: str) -> Column:
+    """Sets of n and m words with t in common have l of them among their rarest n - t + l and m - t + l.  So of the words
+    sketched at most n - t or so may be missing from the other's, and a bit that the other lacks is a word missing at least."""
+    length = lambda s: sketch_length(F.col(f"{s}.n"))
+    common = F.least(*[length(s) - F.col(f"{s}.n") for s in (x, y)]) + needed_overlap(x, y)
+    return (lacks(x, y) <= length(x) - common) & (lacks(y, x) <= length(y) - common)
 
 
-def may_be_similar(x: str, y: str) -> Column:
-    """Length, position and sketch filters between two prefix rows of the same word."""
-    c = lambda side, name: F.col(f"{side}.{name}")
-    size = (100 * c(x, "n") >= SIMILARITY_PERCENT * c(y, "n")) & (100 * c(y, "n") >= SIMILARITY_PERCENT * c(x, "n"))
-    place = 1 + F.least(c(x, "n") - 1 - c(x, "at"), c(y, "n") - 1 - c(y, "at")) >= needed_overlap(x, y)
-    return size & place & differs_little(x, y)
+def positions_allow(x: str, y: str) -> Column:
+    """The first common word leaves enough words behind it in both."""
+    return F.least(F.col(f"{x}.n") - F.col(f"{x}.at"), F.col(f"{y}.n") - F.col(f"{y}.at")) >= needed_overlap(x, y)
 
 
-def pairs(x: DataFrame, y: DataFrame) -> DataFrame:
-    """(xd, xp, yd, yp): an earlier class x and a later class y that may be similar, each pair once."""
-    both = y.alias("y").join(x.alias("x"), F.col("x.word") == F.col("y.word")).filter(earlier("x", "y", place(x))).filter(may_be_similar("x", "y"))
-    return both.select(F.col("x.doc").alias("xd"), F.col("x.pos").alias("xp"), F.col("y.doc").alias("yd"), F.col("y.pos").alias("yp")).distinct()
+def both_places(p: DataFrame) -> DataFrame:
+    """Pairs of joined classes x and y by their places, each once."""
+    columns = [f"{s}_{c}" for s in "xy" for c in PLACE]
+    return p.select(*columns if columns[0] in p.columns else [F.col(c.replace("_", ".")).alias(c) for c in columns]).distinct()
 
 
 def hub_pairs(ranks: DataFrame) -> DataFrame:
-    """(xd, xp, yd, yp): classes with earlier ones of the same key: the earliest and the most copied."""
-    own = ["doc", "pos", "n", *PARTS]
-    rows = ranks.select("copies", *own, F.explode("keys").alias("word"))
+    """Classes y with earlier ones x of the same key: the earliest and the most copied."""
+    own = [*PLACE, "n", *SKETCH]
+    rows = ranks.select("copies", *own, F.explode("keys").alias("key"))
     first, most = F.min(F.struct(*own)).alias("first"), F.max(F.struct("copies", *own)).alias("most")
-    hubs = rows.groupBy("word").agg(F.count("*").alias("times"), first, most).filter("times > 1")
-    hubs = hubs.select("word", "first.*").unionByName(hubs.select("word", *[F.col(f"most.{c}").alias(c) for c in own])).distinct()
-    both = rows.alias("y").join(hubs.alias("x"), F.col("x.word") == F.col("y.word")).filter(earlier("x", "y", place(ranks)))
-    size = (100 * F.col("x.n") >= SIMILARITY_PERCENT * F.col("y.n")) & (100 * F.col("y.n") >= SIMILARITY_PERCENT * F.col("x.n"))
-    both = both.filter(size & differs_little("x", "y"))
-    return both.select(F.col("x.doc").alias("xd"), F.col("x.pos").alias("xp"), F.col("y.doc").alias("yd"), F.col("y.pos").alias("yp")).distinct()
-
-
-def verified(found: DataFrame, classes: DataFrame) -> DataFrame:
-    """(doc, pos) of the later classes of pairs whose full sets reach the threshold."""
-    side = lambda s: classes.select(F.col("doc").alias(f"{s}d"), F.col("pos").alias(f"{s}p"), F.col("line").alias(f"line_{s}"))
-    p = found.join(side("x"), ["xd", "xp"]).join(side("y"), ["yd", "yp"])
-    p = p.select("yd", "yp", word_set("line_x").alias("a"), word_set("line_y").alias("b")).withColumn("both", F.size(F.array_intersect("a", "b")))
-    similar = 100 * F.col("both") >= SIMILARITY_PERCENT * (F.size("a") + F.size("b") - F.col("both"))
-    return p.filter(similar).select(F.col("yd").alias("doc"), F.col("yp").alias("pos")).distinct()
-
-
-def later_classes(classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc, pos): classes with an earlier similar class."""
-    ranks = scratch.write(ranked(classes, *rarity(classes)), "ranks")
+    hubs = rows.groupBy("key").agg(F.count("*").alias("times"), first, most).filter("times > 1")
+    hubs = hubs.select("key", F.explode(F.array("first", F.struct(*[F.col(f"most.{c}").alias(c) for c in own]))).alias("x")).select("key", "x.*")
+    both = rows.drop("copies").alias("y").join(hubs.alias("x").hint("merge"), F.col("x.key") == F.col("y.key"))
+    return both_places(both.filter(earlier("x", "y") & sizes_allow("x", "y")).filter(sketches_allow("x", "y")))
+
+
+def prefix_rows(ranks: DataFrame, part: int) -> DataFrame:
+    """A row for each word of a class's prefix, for one range of words."""
+    return ranks.select(*PLACE, "n", *SKETCH, F.posexplode("prefix").alias("at", "word")).filter(F.pmod("word", F.lit(PASSES)) == part)
+
+
+def prefix_pairs(asking: DataFrame, others: DataFrame) -> DataFrame:
+    """Joined prefix rows of classes y that ask and earlier ones x that share a word of both prefixes; a pair once for each word."""
+    both = others.alias("x").join(asking.alias("y").hint("merge"), F.col("x.word") == F.col("y.word"))
+    both = both.filter(earlier("x", "y") & sizes_allow("x", "y") & positions_allow("x", "y"))
+    return both.filter(sketches_allow("x", "y"))
+
+
+def asked_for(asking: DataFrame) -> Column:
+    """Whether some class asks for a word, from a table of marks of fixed size; other words may pass too."""
+    mark = F.shiftrightunsigned(F.xxhash64("word"), 64 - MARKS)
+    marks = [0] * (1 << MARKS - 6)
+    for r in asking.select(F.explode("prefix").alias("word")).select(mark.alias("m")).distinct().collect():  # no more than there are marks
+        marks[r["m"] >> 6] |= 1 << (r["m"] & 63)
+    table = F.from_json(F.lit(json.dumps([m - (1 << 64) if m >> 63 else m for m in marks])), "array<bigint>")
+    return F.getbit(F.get(table, F.shiftright(mark, 6).cast("int")), mark.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def closest(p: DataFrame) -> DataFrame:
+    """Of pairs (y, x) or of what is known already of each y, the x with the closest sketch, and those of the smallest and largest hash."""
+    y = [f"y_{c}" for c in PLACE]
+    if "best" not in p.columns:
+        x = F.struct(*[F.col(f"x.{c}").alias(c) for c in ("c", "doc", "pos")])
+        best = F.struct((lacks("x", "y") + lacks("y", "x")).alias("apart"), x.alias("x"))
+        p = p.select(*[F.col(f"y.{c}").alias(f"y_{c}") for c in PLACE], best.alias("best"), x.alias("low"), x.alias("high"))
+    return p.groupBy(*y).agg(F.min("best").alias("best"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def in_passes(scratch: Scratch, part) -> DataFrame:
+    """All that part(k) gives, a written table for each range of words."""
+    out = scratch.write(part(0), "pass")
+    for k in range(1, PASSES):
+        out = out.unionByName(scratch.write(part(k), "pass"))
+    return out
+
+
+def verified(pairs: DataFrame, docs: DataFrame, levels: list[int], scratch: Scratch) -> DataFrame:
+    """Places of the later classes of pairs whose full sets reach the threshold."""
+    side = lambda s: pairs.select(*[F.col(f"{s}_{c}").alias(c) for c in PLACE])
+    wanted = side("x").unionByName(side("y")).distinct().groupBy("doc").agg(F.collect_list(F.struct("pos", "c")).alias("wanted"))
+    found = docs.select(key_of(docs).alias("doc"), "text").join(wanted.hint("merge"), "doc")
+    found = found.select("doc", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w")).select("doc", "w.*", F.get("lines", F.col("w.pos")).alias("line"))
+    found = found.filter(F.btrim("line", F.lit(BLANK)) != "").select(*PLACE, word_codes("line", levels).alias("words"))
+    # Rows of one id may have other lines at the place.
+    sets = scratch.write(found.filter(F.xxhash64("words") == F.col("c")), "sets")
+    of = lambda s: sets.select(*[F.col(c).alias(f"{s}_{c}") for c in PLACE], F.col("words").alias(s))
+    p = pairs.join(of("x").hint("merge"), [f"x_{c}" for c in PLACE]).join(of("y").hint("merge"), [f"y_{c}" for c in PLACE])
+    p = p.withColumn("both", F.size(F.array_intersect("x", "y")))
+    similar = 100 * F.col("both") >= SIMILARITY_PERCENT * (F.size("x") + F.size("y") - F.col("both"))
+    later = scratch.write(p.filter(similar).select(*[F.col(f"y_{c}").alias(c) for c in PLACE]).distinct(), "later")
+    scratch.drop(sets)
+    return later
+
+
+def first_classes(docs: DataFrame, levels: list[int], scratch: Scratch) -> DataFrame:
+    """Places (doc, pos, c) of the classes without an earlier similar one."""
+    ranks = scratch.write(ranked(docs, levels), "ranks")
     near = scratch.write(hub_pairs(ranks), "pairs")
-    found = scratch.write(verified(near, classes), "found")
-    # The rest meets every earlier class of a shared word.
-    rest = scratch.write(ranks.join(found, ["doc", "pos"], "left_anti"), "rest")
-    far = None
-    for k in range(PASSES):
-        part = F.pmod("word", F.lit(PASSES)) == k
-        some = scratch.write(pairs(prefixes(ranks).filter(part), prefixes(rest).filter(part)), "pairs")
-        far = some if far is None else far.unionByName(some)
-    last = scratch.write(verified(far.distinct(), classes), "found")
-    scratch.drop(ranks, rest, near)
-    return found.unionByName(last)
+    later = verified(near, docs, levels, scratch)
+    # The rest meets every earlier class of a shared word, and is held against the closest of them.
+    still = ranks.drop("keys", "copies").join(later.withColumn("later", F.lit(True)).hint("merge"), PLACE, "left")
+    still = scratch.write(still.withColumn("open", F.col("later").isNull()).drop("later"), "ranks")
+    scratch.drop(ranks, near, later)
+    open_ = still.filter("open")
+    close = scratch.write(closest(in_passes(scratch, lambda k: closest(prefix_pairs(prefix_rows(open_, k), prefix_rows(still, k))))), "closest")
+    some = close.select(*[f"y_{c}" for c in PLACE], F.explode(F.array("best.x", "low", "high")).alias("x"))
+    later = verified(some.select(*[f"y_{c}" for c in PLACE], *[F.col(f"x.{c}").alias(f"x_{c}") for c in PLACE]).distinct(), docs, levels, scratch)
+    # Those that had more than one and are similar to none of these meet all.
+    more = close.filter("low <> high").select(*[F.col(f"y_{c}").alias(c) for c in PLACE]).join(later.hint("merge"), PLACE, "left_anti")
+    asking = scratch.write(open_.join(more.hint("merge"), PLACE, "left_semi"), "asking")
+    wanted = asked_for(asking)
+    pairs = in_passes(scratch, lambda k: both_places(prefix_pairs(prefix_rows(asking, k), prefix_rows(still, k).filter(wanted))))
+    last = verified(scratch.write(both_places(pairs), "pairs"), docs, levels, scratch)
+    return open_.select(*PLACE).join(later.unionByName(last).hint("merge"), PLACE, "left_anti")
+
+
+def repeats(docs: DataFrame) -> bool:
+    """Whether rows share an id."""
+    return not docs.groupBy(key_of(docs).alias("doc")).count().filter("count > 1").isEmpty()
 
 
 def kept_lines(docs: DataFrame, shared: bool) -> DataFrame:
     """(doc, kept): by document the places of the lines with words that stay; where rows share ids, (doc, row, kept) with the hash of the row's text."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    classes = spread(docs).groupBy("line").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("copies"))
-    pos = F.struct(F.col("first.pos").alias("place"), F.xxhash64("line").alias("hash")).alias("pos") if shared else F.col("first.pos")
-    classes = scratch.write(classes.select("first.doc", pos, "line", "copies"), "classes")
-    stay = classes.select("doc", "pos").join(later_classes(classes, scratch), ["doc", "pos"], "left_anti")
-    by = ["doc"]
+    levels = rarity(docs)
+    stay, by = first_classes(docs, levels, scratch), ["doc"]
     if shared:
         by = ["doc", "row"]
-        own = spread(docs, F.xxhash64("text").alias("row")).select(*by, F.struct(F.col("pos").alias("place"), F.xxhash64("line").alias("hash")).alias("pos")).distinct()
-        stay = own.join(stay, ["doc", "pos"]).select(*by, F.col("pos.place").alias("pos"))
-    kept = scratch.write(stay.groupBy(*by).agg(F.sort_array(F.collect_list("pos")).alias("kept")), "kept")
-    scratch.drop(classes)
-    return kept
+        own = spread(docs, F.xxhash64("text").alias("row")).select(*by, "pos", F.xxhash64(word_codes("line", levels)).alias("c")).distinct()
+        stay = own.join(stay, PLACE)
+    return scratch.write(stay.groupBy(*by).agg(F.sort_array(F.collect_list("pos")).alias("kept")), "kept")
 
 
-def with_kept(docs: DataFrame) -> DataFrame:
+def with_kept(docs: DataFrame, doc: str, row: str, kept: str, lines: str, removed: str) -> DataFrame:
+    """With the places of the lines that stay in column `kept`, all lines in `lines` and the number of those that go in `removed`; columns `doc` and `row` for work."""
     shared = repeats(docs)
-    key = {"__doc": F.coalesce("doc_id", F.lit(FIRST))} | ({"__row": F.xxhash64("text")} if shared else {})
-    kept = kept_lines(docs, shared)
-    kept = kept.select(*[F.col(c).alias(f"__{c}") for c in kept.columns])
-    d = docs.withColumns(key).join(kept, [*key], "left").drop(*key)
-    d = d.withColumn("__kept", F.coalesce("__kept", F.array().cast("array<int>")))
-    d = d.withColumn("__lines", F.split("text", "\n"))
-    worded = F.filter("__lines", lambda x: F.btrim(x, F.lit(BLANK)) != "")
-    return d.withColumn("__removed", F.coalesce(F.size(worded) - F.size("__kept"), F.lit(0)))
+    stay = kept_lines(docs, shared)
+    names = {"doc": doc, "row": row, "kept": kept}
+    stay = stay.select(*[F.col(c).alias(names[c]) for c in stay.columns])
+    d = docs.withColumn(doc, key_of(docs))
+    if shared:
+        d = d.withColumn(row, F.xxhash64("text"))
+    d = d.join(stay.hint("merge"), [doc, row] if shared else [doc], "left").withColumn(kept, F.coalesce(kept, F.array().cast("array<int>")))
+    d = d.withColumn(lines, F.split("text", "\n"))
+    worded = F.filter(lines, lambda x: F.btrim(x, F.lit(BLANK)) != "")
+    return d.withColumn(removed, F.coalesce(F.size(worded) - F.size(kept), F.lit(0)))
 
 
-def new_text() -> Column:
-    bare = lambda x: F.btrim(x, F.lit(BLANK)) == ""
-    left = F.filter("__lines", lambda x, i: bare(x) | F.array_contains("__kept", i))
-    return F.when(F.col("__removed") > 0, F.array_join(left, "\n")).otherwise(F.col("text"))
+def new_text(kept: str, lines: str, removed: str) -> Column:
+    every = F.sequence(F.lit(0), F.size(lines) - 1)
+    bare = F.filter(every, lambda i: F.btrim(F.get(lines, i), F.lit(BLANK)) == "")
+    left = F.transform(F.array_intersect(every, F.concat(F.col(kept), bare)), lambda i: F.get(lines, i))
+    return F.when(F.col(removed) > 0, F.array_join(left, "\n")).otherwise(F.col("text"))
 
 
 def remove(docs: DataFrame) -> DataFrame:
     """The documents without their later lines, with all their columns."""
-    return with_kept(docs).withColumn("text", new_text()).select(*docs.columns)
+    names: list[str] = []
+    for stem in ("doc", "row", "kept", "lines", "removed"):
+        names.append(free_name([*docs.columns, *names], f"__{stem}"))
+    return with_kept(docs, *names).withColumn("text", new_text(*names[2:])).select(*docs.columns)
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_sha256): lines with words, how many went, and the text that is left."""
-    d = with_kept(docs.select("doc_id", "text"))
-    n = F.col("__removed") + F.size("__kept")
-    return d.select("doc_id", F.when(F.col("text").isNull(), F.lit(0)).otherwise(n).cast("long").alias("n_lines"), F.col("__removed").cast("long").alias("n_removed"), F.sha2(F.coalesce(new_text(), F.lit("")), 256).alias("kept_sha256"))
+    d = with_kept(docs.select("doc_id", "text"), "doc", "row", "kept", "lines", "removed")
+    n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("removed") + F.size("kept"))
+    return d.select("doc_id", n.cast("long").alias("n_lines"), F.col("removed").cast("long").alias("n_removed"), F.sha2(F.coalesce(new_text("kept", "lines", "removed"), F.lit("")), 256).alias("kept_sha256"))
