@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..errors import QueryError
 from ..plans.check import mode_met
 from ..plans.ir import Atom, Body, Literal, Term, shown
+from ..plans.messages import UNBOUND_OPERAND
 from ..plans.vocabulary import Builtin
 from ..values import Value
 from .lanes import ANY, Cell, Lane, compare, is_constant, joined, literal, same
@@ -141,7 +142,7 @@ class BodyPlanner:
                 if best is None or score > best[0]:
                     best = (score, k, x)
         if best is None:
-            raise QueryError("comparison operand is unbound (a variable must appear in a relation before it is compared)")
+            raise QueryError(UNBOUND_OPERAND)
         return best[1], best[2]
 
     def _narrow(self, b: Bindings, later: set[str]) -> Bindings:

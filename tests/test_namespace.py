@@ -79,7 +79,7 @@ def test_modules(spark):
 def test_broken_modules():
     s = circuit()
     for text, fragment in (
-        ("r(?x) :- nope(?x);", "reads unknown relation"), ("r(?x)", "is a goal; rules-only text"), ("a.r(?x) :- entity(?x, _);", "is qualified; a module defines its own members"),
+        ("r(?x) :- nope(?x);", "reads unknown relation"), ("r(?x)", "is a goal, which rules alone cannot have"), ("a.r(?x) :- entity(?x, _);", "is qualified, and members are written bare"),
         ("r(?x) :- entity(?x, _); r(?x, ?y) :- entity(?x, ?y);", "args (arity must be consistent)"), ("r(?x: number) :- component.net(_, ?x);", "but its rules make it net"),
     ):
         v = vocabulary(s)
