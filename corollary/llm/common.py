@@ -162,32 +162,41 @@ def record_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
-def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
+#: Parts that the edges of one node are dealt to.
+PARTS = 32
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components of edges (u long, v long): one row (node, component = smallest reachable node).
 
-    Alternating large-star and small-star contraction: each round is a grouped minimum (combined on the
-    map side) and an equi-join, so no group is gathered anywhere; rounds grow with the log of the size.
-    Edges that still change after all rounds are an error, never an answer.
+    Alternating large-star and small-star contraction: each round is two grouped minima (combined on the map
+    side) and equi-joins, so no group is gathered anywhere; rounds grow with the log of the size.  They end when one
+    leaves the edges as they were: as many as before, and none that was not there.
     """
-    e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
-    e = scratch.write(e, "edges")
-    last = None
-    for _ in range(rounds):
+    e = scratch.write(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
+    while True:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).filter("u <> v").distinct()
-        small = scratch.write(small, "edges")
-        sums = small.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h")).first()
-        scratch.drop(e)
+        large = with_least(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        large = scratch.write(large.filter("u <> v").distinct(), "edges")
+        tied = with_least(large)
+        small = tied.select("u", F.col("m").alias("v")).unionByName(tied.select(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = scratch.write(small.filter("u <> v").distinct(), "edges")
+        settled = e.count() == small.count() and small.join(e.hint("merge"), ["u", "v"], "left_anti").isEmpty()
+        scratch.drop(e, large)
         e = small
-        if tuple(sums) == last:
+        if settled:
             break
-        last = tuple(sums)
-    else:
-        raise RuntimeError(f"components have not settled in {rounds} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def with_least(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) with m, the smallest v of their u.
+
+    A node's edges are dealt to parts by their other end.  Parts meet the node's minimum first, a few rows a node, and edges
+    that of their part, so that the edges of a hub never meet in one task.
+    """
+    dealt = edges.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)))
+    own = dealt.groupBy("u", "part").agg(F.min("v").alias("least"))
+    low = own.select("u", "part").join(own.groupBy("u").agg(F.min("least").alias("m")).hint("merge"), "u")
+    return dealt.join(low.hint("merge"), ["u", "part"]).drop("part")

@@ -105,7 +105,8 @@ def ranked(docs: DataFrame, levels: list[int]) -> DataFrame:
     rarer = F.slice("words", 1, F.ceil(F.col("n") / 2).cast("int"))
     for k, order in enumerate((0, SHUFFLE)):
         c = c.withColumn(f"order{k}", F.transform(rarer, lambda h, v=order: h.bitwiseAND(F.lit(HASH)).bitwiseXOR(F.lit(v))))
-    keys = F.array(*[F.xxhash64(F.lit(k), F.array_min(f"order{k}"), F.array_max(f"order{k}")) for k in (0, 1)])
+    ends = [f(f"order{k}") for k in (0, 1) for f in (F.array_min, F.array_max)]
+    keys = F.array(*[F.xxhash64(F.lit(k), x) for k, x in enumerate(ends)])
     one = F.lit(1).cast("long")
     bit = lambda h: F.call_function("shiftleft", one, F.shiftright(h, 1).bitwiseAND(F.lit(63)).cast("int"))
     sketch = lambda k: F.aggregate("sketched", F.lit(0).cast("long"), lambda a, h: F.when(h.bitwiseAND(F.lit(1)) == k, a.bitwiseOR(bit(h))).otherwise(a))
