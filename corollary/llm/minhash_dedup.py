@@ -5,18 +5,19 @@ each minimum its low eight bits are packed into a signature, and equal bytes of
 for chance collisions, estimate the similarity of candidates.  Estimates within the error margin of the
 threshold are decided on the full sets.
 
-Documents with the same set are one class from the start.  No group is ever expanded into its pairs: candidates meet in blocks of a bounded number of signatures, where
-each document puts forward its best partners, and the full sets decide those.  Groups that fall into one
-component then are done.  The others meet once more in blocks that hold the full sets: there every pair of
-two components whose estimate is not below the margin is decided, and only links that join components leave
-the block, fewer than it has documents.
+Documents with the same set are one class, with a number of its own.  Each class is held against the first of each
+of its buckets.  Buckets whose members those estimates do not join are compared once more: what lies outside the bucket's
+largest part meets all its members in blocks of bounded size.  So groups are joined by estimates near the threshold and never by
+a band alone, and none is expanded into its pairs.  Then the full sets decide the pairs that joined each group.  Groups that
+are one component after that are done; of the others what lies outside the largest component meets the whole group in blocks that
+hold the texts, and only links that join components leave a block, fewer than it has members.
 
 Chance of missing a link at similarity 0.85: (1 - 0.85**5)**25 < 1e-6 by the bands, and the margin is four
 standard errors of the estimate.
 
 Defined results: texts that are null or without words have an empty set and link with nothing; texts with
-fewer words than a shingle are one shingle; repeated ids: the smallest id stands for all its rows with the
-same set; a null id links with nothing; where documents are returned all their columns stay.
+fewer words than a shingle are one shingle; rows that
+repeat an id are judged each by their own text; a null id links with nothing; where documents are returned all their columns stay.
 """
 
 from __future__ import annotations
@@ -29,20 +30,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_column, components, mix, record_batch, table, word_hashes
+from .common import Scratch, arrow_column, components, free_name, mix, record_batch, table, word_hashes
 
 MINIMA, BITS, ROWS = 128, 8, 5
 BANDS = MINIMA // ROWS
 BLOCK = 2048  # signatures on one side of a comparison
 BLOCK_CHARS = 4_000_000  # of text on one side where full sets are compared
-PARTNERS = 2  # that a document puts forward first
 SLAB = 4096  # shingles whose presence is multiplied out at once
 _rng = np.random.default_rng(20240229)
 FACTORS = (_rng.integers(1, 1 << 32, MINIMA, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 OFFSETS = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint64).astype(np.uint32)
 
-SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("signature", pa.binary()), ("bands", pa.list_(pa.int64()))])
-SKETCH_SQL = "doc_id long, n_shingles long, key binary, signature binary, bands array<long>"
+SKETCH = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("signature", pa.binary()), ("bands", pa.list_(pa.int64()))])
+SKETCH_SQL = "doc_id long, mark long, n_shingles long, key binary, signature binary, bands array<long>"
 PAIRS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
@@ -85,38 +85,32 @@ def bands(m: np.ndarray) -> list[int]:
 def sketch(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches):
         for b in batches:
-            ids, texts = arrow_column(b, "doc_id"), arrow_column(b, "text")
+            ids, texts, marks = (arrow_column(b, c) for c in ("doc_id", "text", "mark"))
             for lo in range(0, len(ids), 1000):
                 rows: dict[str, list] = {f.name: [] for f in SKETCH}
-                for doc, text in zip(ids[lo : lo + 1000], texts[lo : lo + 1000], strict=True):
+                for doc, text, mark in zip(ids[lo : lo + 1000], texts[lo : lo + 1000], marks[lo : lo + 1000], strict=True):
                     s = shingle_set(text, shingle)
                     m = minima(s)
                     none = not len(s) or doc is None
-                    for name, v in zip(rows, (doc, len(s), None if none else hashlib.blake2b(s.tobytes(), digest_size=16).digest(), None if none else signature(m), None if none else bands(m)), strict=True):
+                    for name, v in zip(rows, (doc, mark, len(s), None if none else hashlib.blake2b(s.tobytes(), digest_size=16).digest(), None if none else signature(m), None if none else bands(m)), strict=True):
                         rows[name].append(v)
                 yield record_batch(rows, SKETCH)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SKETCH_SQL)
+    return docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")).mapInArrow(run, SKETCH_SQL)
+
+
+def corrected(equal: np.ndarray) -> np.ndarray:
+    """Similarity from how many low bits of minima are equal; chance makes 2**-BITS of the others so."""
+    chance = 2.0**-BITS
+    return ((equal / MINIMA).astype(np.float32) - chance) / (1 - chance)
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Similarity of all rows of a with all rows of b, from equal low bits; chance makes 2**-BITS of the others equal."""
+    """Similarity of all rows of a with all rows of b."""
     equal = np.zeros((len(a), len(b)), np.int16)
     for k in range(a.shape[1]):
         equal += a[:, k, None] == b[None, :, k]
-    chance = 2.0**-BITS
-    return ((equal / a.shape[1]).astype(np.float32) - chance) / (1 - chance)
-
-
-def sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Places of a block pair's left and right rows; the same for a block with itself."""
-    block, first = np.array(t.column("block").to_pylist()), t.column("ba")[0].as_py()
-    left = np.flatnonzero(block == first)
-    return left, left if t.column("bb")[0].as_py() == first else np.flatnonzero(block != first)
-
-
-def signatures(t: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(-1, MINIMA)
+    return corrected(equal)
 
 
 def comparable(size: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -125,27 +119,6 @@ def comparable(size: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) ->
     return 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
 
 
-def proposer(margin: float, percent: int):
-    """In a block pair, each document's partners of the highest estimates."""
-
-    def propose(t: pa.Table) -> pa.Table:
-        ids, size, sig = np.array(t.column("doc_id").to_pylist(), np.int64), np.array(t.column("n_shingles").to_pylist(), np.int64), signatures(t)
-        left, right = sides(t)
-        rows = {"u": [], "v": []}
-        for lo in range(0, len(left), 256):
-            some = left[lo : lo + 256]
-            e = estimate(sig[some], sig[right])
-            ok = (e >= margin) & comparable(size, some, right, percent) & (some[:, None] != right[None, :])
-            for k in np.flatnonzero(ok.any(1)).tolist():
-                js = np.flatnonzero(ok[k])
-                js = js[np.lexsort((ids[right[js]], -e[k, js]))[:PARTNERS]]
-                rows["u"] += [int(ids[some[k]])] * len(js)
-                rows["v"] += ids[right[js]].tolist()
-        return table(rows, PAIRS)
-
-    return propose
-
-
 def shared_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of all sets of one with all sets of two, by products of presence, a slab of shingles at a time."""
     a, b = np.concatenate(one), np.concatenate(two)
@@ -165,22 +138,22 @@ def shared_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def joiner(margin: float, percent: int, shingle: int):
-    """In a block pair with texts: links between components, decided on the full sets; a spanning set of them."""
+def joiner(name: str, margin: float, percent: int, shingle: int):
+    """Of two meeting blocks: links between components, by estimate alone (shingle 0) or decided on the full sets; a spanning set of them."""
 
     def join(t: pa.Table) -> pa.Table:
-        ids, size, sig = np.array(t.column("doc_id").to_pylist(), np.int64), np.array(t.column("n_shingles").to_pylist(), np.int64), signatures(t)
-        comp = np.unique(np.array(t.column("component").to_pylist(), np.int64), return_inverse=True)[1].astype(np.int64)
-        texts, sets = t.column("text"), {}
-        parent = np.arange(comp.max() + 1)
-        rows = {"u": [], "v": []}
+        column = lambda c: np.array(t.column(c).to_pylist(), np.int64)
+        ids, size, sig = column("class"), column("n_shingles"), np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(-1, MINIMA)
+        comp = np.unique(column(name), return_inverse=True)[1]
+        parent, rows, sets = np.arange(comp.max() + 1), {"u": [], "v": []}, {}
+        asks = np.array(t.column("asks").to_pylist(), bool)
+        right, left = np.flatnonzero(~asks), np.flatnonzero(asks)
 
         def shingles(k: int) -> np.ndarray:
-            if k not in sets:
-                sets[k] = shingle_set(texts[k].as_py(), shingle)
-            return sets[k]
+            if ids[k] not in sets:
+                sets[ids[k]] = shingle_set(t.column("text")[int(k)].as_py(), shingle)
+            return sets[ids[k]]
 
-        left, right = sides(t)
         for lo in range(0, len(left), 128):
             some = left[lo : lo + 128]
             ok = comparable(size, some, right, percent) & (parent[comp[some]][:, None] != parent[comp[right]][None, :])
@@ -190,9 +163,10 @@ def joiner(margin: float, percent: int, shingle: int):
             i, j = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
             if not len(i):
                 continue
-            both = shared_counts([shingles(k) for k in some[i]], [shingles(k) for k in right[j]])
-            total = size[some[i]][:, None] + size[right[j]][None, :]
-            linked = ok[np.ix_(i, j)] & (100 * both >= percent * (total - both))
+            linked = ok[np.ix_(i, j)]
+            if shingle:
+                both = shared_counts([shingles(k) for k in some[i]], [shingles(k) for k in right[j]])
+                linked = linked & (100 * both >= percent * (size[some[i]][:, None] + size[right[j]][None, :] - both))
             for x, y in zip(*np.nonzero(linked), strict=True):
                 u, v = int(some[i[x]]), int(right[j[y]])
                 p, q = parent[comp[u]], parent[comp[v]]
@@ -205,85 +179,144 @@ def joiner(margin: float, percent: int, shingle: int):
     return join
 
 
-def decide(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Of the pairs (u, v) those whose full sets reach the threshold.  Texts travel once for each pair of a document."""
-    texts = docs.select("doc_id", "text")
-    ends = pairs.select("u", "v")
-
-    def check(batches):
-        out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-        kept: dict[int, np.ndarray] = {}
-        for b in batches:
-            rows = {"u": [], "v": []}
-            for u, v, a, c in zip(*(arrow_column(b, n) for n in ("u", "v", "text_u", "text_v")), strict=True):
-                if len(kept) > 64:
-                    kept.clear()
-                sets = []
-                for d, t in ((u, a), (v, c)):
-                    if d not in kept:
-                        kept[d] = shingle_set(t, shingle)
-                    sets.append(kept[d])
-                both = len(np.intersect1d(*sets, assume_unique=True))
-                if 100 * both >= percent * (len(sets[0]) + len(sets[1]) - both):
-                    rows["u"].append(u)
-                    rows["v"].append(v)
-            yield record_batch(rows, out)
-
-    joined = ends.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
-    joined = joined.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
-    return scratch.write(joined.select("u", "v", "text_u", "text_v").mapInArrow(check, "u long, v long"), "links")
-
-
-def block_pairs(rows: DataFrame, *more: str) -> DataFrame:
-    """Each row once for every pair that its block makes with a block of its group."""
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select("group", F.least("block", "other").alias("ba"), F.greatest("block", "other").alias("bb"), "block", "doc_id", "n_shingles", "signature", *more)
+class Pairwise:
+    """Steps over classes (class, n_shingles, signature), which are numbers of distinct sets."""
+
+    def __init__(self, scratch: Scratch, texts: DataFrame, shingle: int, percent: int, block: int):
+        self.scratch, self.texts, self.shingle, self.percent, self.block = scratch, texts, shingle, percent, block
+        share = percent / 100
+        self.margin = share - 4 * math.sqrt(share * (1 - share) / MINIMA)
+
+    def estimated(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+        """Pairs (u, v) with their estimate, of those whose sizes and signatures allow a link."""
+        side = lambda c: classes.select(F.col("class").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("signature").alias(f"s_{c}")).hint("merge")
+        both = pairs.join(side("u"), "u").join(side("v"), "v")
+        both = both.filter(100 * F.least("n_u", "n_v") >= self.percent * F.greatest("n_u", "n_v"))
+        margin, out = self.margin, pa.schema([("u", pa.int64()), ("v", pa.int64()), ("e", pa.float32())])
+
+        def run(batches):
+            for b in batches:
+                if b.num_rows:
+                    x, y = (np.frombuffer(b"".join(arrow_column(b, c)), np.uint8).reshape(-1, MINIMA) for c in ("s_u", "s_v"))
+                    e = corrected((x == y).sum(1))
+                    ok = pa.array(e >= margin)
+                    yield pa.RecordBatch.from_arrays([b.column("u").filter(ok), b.column("v").filter(ok), pa.array(e.astype(np.float32)).filter(ok)], schema=out)
+
+        return both.select("u", "v", "s_u", "s_v").mapInArrow(run, "u long, v long, e float")
+
+    def decided(self, pairs: DataFrame) -> DataFrame:
+        """Of the pairs (u, v) those whose full sets reach the threshold."""
+        shingle, percent, out = self.shingle, self.percent, PAIRS
+
+        def check(batches):
+            kept: dict[int, np.ndarray] = {}
+
+            def set_of(c, text):
+                if c not in kept:
+                    if len(kept) > 64:
+                        kept.clear()
+                    kept[c] = shingle_set(text, shingle)
+                return kept[c]
+
+            for b in batches:
+                rows = {"u": [], "v": []}
+                for u, v, x, y in zip(*(arrow_column(b, n) for n in ("u", "v", "text_u", "text_v")), strict=True):
+                    x, y = set_of(u, x), set_of(v, y)
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        rows["u"].append(u)
+                        rows["v"].append(v)
+                yield record_batch(rows, out)
+
+        side = lambda c: self.texts.select(F.col("class").alias(c), F.col("text").alias(f"text_{c}")).hint("merge")
+        both = pairs.select("u", "v").join(side("u"), "u").join(side("v"), "v")
+        return self.scratch.write(both.select("u", "v", "text_u", "text_v").mapInArrow(check, "u long, v long"), "links")
+
+    def labelled(self, rows: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        """Rows with the component of their class under the links."""
+        comps = components(links, self.scratch).select(F.col("node").alias("class"), F.col("component").alias(name))
+        return rows.join(comps.hint("merge"), "class", "left").withColumn(name, F.coalesce(name, "class"))
+
+    def apart(self, rows: DataFrame, group: str, name: str) -> DataFrame:
+        """Rows of groups with more than one component, dealt to blocks that meet.
+
+        Block a of all rows and block b of those that ask, which lie outside the group's largest component, meet once.
+        """
+        sizes = rows.groupBy(group, name).agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+        groups = sizes.groupBy(group).agg(F.count("*").alias("parts"), F.max(F.struct("n", F.col(name).alias("c")))["c"].alias("main"), F.sum("n").alias("n"), F.sum("w").alias("w"))
+        groups = groups.filter("parts > 1")
+        outside = sizes.join(groups.select(group, "main").hint("merge"), group).filter(F.col(name) != F.col("main")).groupBy(group).agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+        blocks = lambda n, w: F.greatest(F.ceil(n / self.block), F.ceil(w / BLOCK_CHARS), F.lit(1)).cast("int")
+        groups = groups.select(group, "main", blocks(F.col("n"), F.col("w")).alias("all")).join(outside.select(group, blocks(F.col("n"), F.col("w")).alias("few")).hint("merge"), group)
+        dealt = rows.join(groups.hint("merge"), group)
+        place = F.xxhash64("class")
+        one = dealt.withColumn("a", F.pmod(place, "all").cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("few") - 1))).withColumn("asks", F.lit(False))
+        two = dealt.filter(F.col(name) != F.col("main")).withColumn("b", F.pmod(place, "few").cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("all") - 1))).withColumn("asks", F.lit(True))
+        return one.unionByName(two).drop("main", "all", "few", "weight")
+
+    def joined(self, blocks: DataFrame, group: str, name: str, exact: bool) -> DataFrame:
+        """Links between components found in meeting blocks: by estimate, or decided on the full sets."""
+        return self.scratch.write(blocks.groupBy(group, "a", "b").applyInArrow(joiner(name, self.margin, self.percent, self.shingle if exact else 0), "u long, v long"), "links")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document (doc_id, text); links need 100 |A and B| >= percent |A or B|."""
-    scratch = Scratch(docs.sparkSession, "minhash-dedup")
-    sketches = scratch.write(sketch(docs, shingle), "sketches")
-    classes = scratch.write(sketches.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = sketches.filter("key is not null").join(classes, "key").filter("doc_id = rep").dropDuplicates(["doc_id", "key"])
-    reps = scratch.write(reps.select("doc_id", "n_shingles", "signature", "bands"), "representatives")
-    banded = scratch.write(reps.select("doc_id", F.explode("bands").alias("band")), "bands")
-    hubs = banded.groupBy("band").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    star = banded.join(hubs, "band").filter("doc_id <> hub").select(F.col("doc_id").alias("u"), F.col("hub").alias("v")).distinct()
-    groups = scratch.write(components(star, scratch).withColumnRenamed("component", "group"), "groups")
-    state = reps.select("doc_id", "n_shingles", "signature").join(groups.withColumnRenamed("node", "doc_id"), "doc_id")
-    sizes = groups.groupBy("group").agg(F.ceil((F.count("*")) / block).cast("int").alias("blocks"))
-    state = state.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
-    state = scratch.write(state, "candidates")
-    scratch.drop(banded)
-    margin = percent / 100 - 4 * math.sqrt(percent / 100 * (1 - percent / 100) / MINIMA)
-    put = block_pairs(state).groupBy("group", "ba", "bb").applyInArrow(proposer(margin, percent), "u long, v long")
-    put = scratch.write(put.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
-    links = decide(put, docs, shingle, percent, scratch)
-
-    def known(links: DataFrame) -> DataFrame:
-        comps = components(links, scratch)
-        found = state.select("doc_id").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        return scratch.write(found.select("doc_id", F.coalesce("component", "doc_id").alias("component")), "components")
-
-    # Groups that are not one component yet are decided on their full sets.
-    now = state.select("group", "doc_id", "n_shingles", "signature").join(known(links), "doc_id")
-    still = now.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
-    now = now.join(still.select("group", "n"), "group").join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id")
-    undecided = now = scratch.write(now, "undecided")
-    sizes = now.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.length("text")) / BLOCK_CHARS)).cast("int").alias("blocks"))
-    now = now.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
-    more = scratch.write(block_pairs(now, "component", "text").groupBy("group", "ba", "bb").applyInArrow(joiner(margin, percent, shingle), "u long, v long"), "links")
-    comps = known(scratch.write(links.unionByName(more), "links"))
-    scratch.drop(undecided)
-    out = sketches.join(classes, "key", "left")
-    out = out.join(comps.select(F.col("doc_id").alias("rep"), "component"), "rep", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    rows, scratch = labelled_rows(docs, shingle, percent, block)
+    out = rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
 
 
-def keep_first(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with all their columns, of each component only the one with the smallest id."""
-    rows = near_duplicates(docs, shingle=shingle, percent=percent)
-    gone = Scratch(docs.sparkSession, "minhash-dedup").write(rows.filter("not kept").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def labelled_rows(docs: DataFrame, shingle: int, percent: int, block: int) -> tuple[DataFrame, Scratch]:
+    """(doc_id, mark, n_shingles, component_id) of every row; mark is a hash of its text."""
+    scratch = Scratch(docs.sparkSession, "minhash-dedup")
+    sketches = scratch.write(sketch(docs, shingle), "sketches")
+    fine = sketches.filter("key is not null")
+    # Each distinct set is a class with a number of its own, known by its smallest id and the text of that row.
+    first = F.min(F.struct("doc_id", "mark")).alias("first")
+    classes = fine.groupBy("key").agg(first, *[F.first(c).alias(c) for c in ("n_shingles", "signature", "bands")])
+    classes = scratch.write(classes.select("key", "first.doc_id", "first.mark", "n_shingles", "signature", "bands").withColumn("class", F.monotonically_increasing_id()), "classes")
+    sets = classes.select("class", "n_shingles", "signature")
+    banded = scratch.write(classes.select("class", F.explode("bands").alias("band")), "bands")
+    hubs = banded.groupBy("band").agg(F.min("class").alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    shared = scratch.write(banded.join(hubs.select("band", "hub").hint("merge"), "band"), "bands")
+    scratch.drop(banded)
+    star = shared.filter("class <> hub").select(F.col("class").alias("u"), F.col("hub").alias("v")).distinct()
+    work = Pairwise(scratch, None, shingle, percent, block)
+    near = scratch.write(work.estimated(star, sets), "near")
+    # Buckets that this leaves in several parts are compared by estimate, those outside the largest part with all.
+    now = work.labelled(shared.select("class", "band"), near, "part").join(sets.hint("merge"), "class").withColumn("weight", F.lit(0))
+    now = scratch.write(now, "buckets")
+    more = work.joined(work.apart(now, "band", "part"), "band", "part", False)
+    groups = components(near.select("u", "v").unionByName(more), scratch)
+    members = scratch.write(groups.select(F.col("node").alias("class"), F.col("component").alias("group")), "groups")
+    scratch.drop(shared, now)
+    # Members' texts, one for each class; rows that repeat id and text count once.
+    where = classes.join(members.hint("merge"), "class").select("class", "doc_id", "mark")
+    marked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    work.texts = scratch.write(marked.join(where.hint("merge"), ["doc_id", "mark"]).groupBy("class").agg(F.first("text").alias("text")), "texts")
+    # Of each class the closest hub or member, and what joined buckets.
+    best = near.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("p"), "e").groupBy(F.col("p.u").alias("u")).agg(F.max(F.struct("e", F.col("p.v").alias("v")))["v"].alias("v"))
+    tried = best.unionByName(more).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    links = work.decided(tried)
+    state = members.join(sets.hint("merge"), "class").join(work.texts.hint("merge"), "class").withColumn("weight", F.length("text"))
+    state = scratch.write(work.labelled(state, links, "part"), "undecided")
+    last = work.joined(work.apart(state, "group", "part"), "group", "part", True)
+    scratch.drop(state, work.texts)
+    ids = classes.select("class", "key", "doc_id")
+    ids = work.labelled(ids, links.unionByName(last), "component")
+    smallest = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    ids = ids.join(smallest.hint("merge"), "component").select("key", "component_id")
+    return sketches.join(ids.hint("merge"), "key", "left").select("doc_id", "mark", "n_shingles", "component_id"), scratch
+
+
+def keep_first(docs: DataFrame, *, shingle: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+    """The documents with all their columns, of each component only those of the smallest id's text that links there.
+
+    A row stays if its id is its component's smallest; rows of one id with other texts are judged by their own components.
+    """
+    rows, scratch = labelled_rows(docs, shingle, percent, block)
+    gone = scratch.write(rows.filter("component_id <> doc_id").select("doc_id", "mark").distinct(), "gone")
+    mark, doc = free_name(docs.columns, "mark"), free_name(docs.columns, "doc")
+    gone = gone.select(F.col("doc_id").alias(doc), F.col("mark").alias(mark))
+    marked = docs.withColumn(mark, F.xxhash64(F.coalesce("text", F.lit("")))).withColumn(doc, F.col("doc_id"))
+    return marked.join(gone.hint("merge"), [doc, mark], "left_anti").select(*docs.columns)
