@@ -170,26 +170,29 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components of edges (u long, v long): one row (node, component = smallest reachable node).
 
     Alternating large-star and small-star contraction: each round is two grouped minima (combined on the map
-    side) and equi-joins, so no group is gathered anywhere; rounds grow with the log of the size.  They end when one
-    leaves the edges as they were: as many as before, and none that was not there.
+    side) and equi-joins, so no group is gathered anywhere; rounds grow with the log of the size.  They end when the
+    edges are stars: every node has one smaller neighbour or is a centre, never both.
     """
     e = scratch.write(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
-    while True:
+    while not are_stars(e):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = with_least(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         large = scratch.write(large.filter("u <> v").distinct(), "edges")
         tied = with_least(large)
         small = tied.select("u", F.col("m").alias("v")).unionByName(tied.select(F.col("v").alias("u"), F.col("m").alias("v")))
         small = scratch.write(small.filter("u <> v").distinct(), "edges")
-        settled = e.count() == small.count() and small.join(e.hint("merge"), ["u", "v"], "left_anti").isEmpty()
         scratch.drop(e, large)
         e = small
-        if settled:
-            break
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def are_stars(e: DataFrame) -> bool:
+    """Whether no node has two smaller neighbours, or a smaller and a larger one, in edges (u, v) with v < u."""
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(e.select("v", F.lit(0), F.lit(1)).toDF("node", "below", "above"))
+    return ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).filter("below + above > 1").isEmpty()
+
+
 def with_least(edges: DataFrame) -> DataFrame:
     """Edges (u, v) with m, the smallest v of their u.
 

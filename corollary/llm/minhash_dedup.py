@@ -44,6 +44,8 @@ OFFSETS = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint64).astype(np.uint32)
 SKETCH = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("signature", pa.binary()), ("bands", pa.list_(pa.int64()))])
 SKETCH_SQL = "doc_id long, mark long, n_shingles long, key binary, signature binary, bands array<long>"
 PAIRS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+#: Links (u, v) between components (p, q).
+JOINS = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("p", pa.int64()), ("q", pa.int64())])
 
 
 def shingle_set(text: str | None, n: int, *, lower: bool = True) -> np.ndarray:
@@ -144,8 +146,9 @@ def joiner(name: str, margin: float, percent: int, shingle: int):
     def join(t: pa.Table) -> pa.Table:
         column = lambda c: np.array(t.column(c).to_pylist(), np.int64)
         ids, size, sig = column("class"), column("n_shingles"), np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(-1, MINIMA)
-        comp = np.unique(column(name), return_inverse=True)[1]
-        parent, rows, sets = np.arange(comp.max() + 1), {"u": [], "v": []}, {}
+        label = column(name)
+        comp = np.unique(label, return_inverse=True)[1]
+        parent, rows, sets = np.arange(comp.max() + 1), {c: [] for c in JOINS.names}, {}
         asks = np.array(t.column("asks").to_pylist(), bool)
         right, left = np.flatnonzero(~asks), np.flatnonzero(asks)
 
@@ -172,9 +175,9 @@ def joiner(name: str, margin: float, percent: int, shingle: int):
                 p, q = parent[comp[u]], parent[comp[v]]
                 if p != q:
                     parent[parent == max(p, q)] = min(p, q)
-                    rows["u"].append(int(ids[u]))
-                    rows["v"].append(int(ids[v]))
-        return table(rows, PAIRS)
+                    for c, x in zip(JOINS.names, (ids[u], ids[v], label[u], label[v]), strict=True):
+                        rows[c].append(int(x))
+        return table(rows, JOINS)
 
     return join
 
@@ -237,6 +240,14 @@ class Pairwise:
         comps = components(links, self.scratch).select(F.col("node").alias("class"), F.col("component").alias(name))
         return rows.join(comps.hint("merge"), "class", "left").withColumn(name, F.coalesce(name, "class"))
 
+    def merged(self, rows: DataFrame, joins: DataFrame, name: str, new: str) -> DataFrame:
+        """Rows with their component `name` and what it becomes under joins (p, q) of components."""
+        if joins.isEmpty():
+            return rows.withColumn(new, F.col(name))
+        comps = components(joins.select(F.col("p").alias("u"), F.col("q").alias("v")), self.scratch)
+        comps = comps.select(F.col("node").alias(name), F.col("component").alias(new))
+        return rows.join(comps.hint("merge"), name, "left").withColumn(new, F.coalesce(new, name))
+
     def apart(self, rows: DataFrame, group: str, name: str) -> DataFrame:
         """Rows of groups with more than one component, dealt to blocks that meet.
 
@@ -256,7 +267,7 @@ class Pairwise:
 
     def joined(self, blocks: DataFrame, group: str, name: str, exact: bool) -> DataFrame:
         """Links between components found in meeting blocks: by estimate, or decided on the full sets."""
-        return self.scratch.write(blocks.groupBy(group, "a", "b").applyInArrow(joiner(name, self.margin, self.percent, self.shingle if exact else 0), "u long, v long"), "links")
+        return self.scratch.write(blocks.groupBy(group, "a", "b").applyInArrow(joiner(name, self.margin, self.percent, self.shingle if exact else 0), "u long, v long, p long, q long"), "links")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
@@ -284,26 +295,26 @@ def labelled_rows(docs: DataFrame, shingle: int, percent: int, block: int) -> tu
     work = Pairwise(scratch, None, shingle, percent, block)
     near = scratch.write(work.estimated(star, sets), "near")
     # Buckets that this leaves in several parts are compared by estimate, those outside the largest part with all.
-    now = work.labelled(shared.select("class", "band"), near, "part").join(sets.hint("merge"), "class").withColumn("weight", F.lit(0))
-    now = scratch.write(now, "buckets")
-    more = work.joined(work.apart(now, "band", "part"), "band", "part", False)
-    groups = components(near.select("u", "v").unionByName(more), scratch)
-    members = scratch.write(groups.select(F.col("node").alias("class"), F.col("component").alias("group")), "groups")
-    scratch.drop(shared, now)
+    parts = scratch.write(work.labelled(sets, near, "part").withColumn("weight", F.lit(0)), "parts")
+    more = work.joined(work.apart(shared.select("class", "band").join(parts.hint("merge"), "class"), "band", "part"), "band", "part", False)
+    grouped = work.merged(parts.select("class", "part"), more, "part", "group")
+    several = grouped.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1").select("group")
+    members = scratch.write(grouped.select("class", "group").join(several.hint("merge"), "group"), "groups")
+    scratch.drop(shared)
     # Members' texts, one for each class; rows that repeat id and text count once.
     where = classes.join(members.hint("merge"), "class").select("class", "doc_id", "mark")
     marked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
     work.texts = scratch.write(marked.join(where.hint("merge"), ["doc_id", "mark"]).groupBy("class").agg(F.first("text").alias("text")), "texts")
     # Of each class the closest hub or member, and what joined buckets.
     best = near.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("p"), "e").groupBy(F.col("p.u").alias("u")).agg(F.max(F.struct("e", F.col("p.v").alias("v")))["v"].alias("v"))
-    tried = best.unionByName(more).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    tried = best.unionByName(more.select("u", "v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     links = work.decided(tried)
     state = members.join(sets.hint("merge"), "class").join(work.texts.hint("merge"), "class").withColumn("weight", F.length("text"))
     state = scratch.write(work.labelled(state, links, "part"), "undecided")
     last = work.joined(work.apart(state, "group", "part"), "group", "part", True)
-    scratch.drop(state, work.texts)
-    ids = classes.select("class", "key", "doc_id")
-    ids = work.labelled(ids, links.unionByName(last), "component")
+    scratch.drop(work.texts)
+    found = work.merged(state.select("class", "part"), last, "part", "component").select("class", "component")
+    ids = classes.select("class", "key", "doc_id").join(found.hint("merge"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     smallest = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     ids = ids.join(smallest.hint("merge"), "component").select("key", "component_id")
     return sketches.join(ids.hint("merge"), "key", "left").select("doc_id", "mark", "n_shingles", "component_id"), scratch
