@@ -151,6 +151,8 @@ def parse(start: np.ndarray, ref_doc: np.ndarray, ref_start: np.ndarray, n: int)
 def spans_of(found: pa.Table) -> dict[int, tuple[np.ndarray, ...]]:
     """Windows with an earlier place by document, in order of start: start, the reference's document and start, hash."""
     r = found.to_pydict()
+    if not any(r["doc"]):
+        return {}
     doc, start, key, ref_doc, ref_start = (np.concatenate([*(raw(b, k) for b in r[c]), np.empty(0, k)]) for c, k in (("doc", "<i8"), ("start", "<i4"), ("key", "<u8"), ("ref_doc", "<i8"), ("ref_start", "<i4")))
     order, began = first_of((ref_start, ref_doc, key, start, doc), (doc, start, key))
     one = order[began == np.arange(len(began))]  # of two places the earlier
