@@ -24,13 +24,20 @@ from .common import arrow_column, bucket_column, bucket_of, record_batch, word_h
 
 #: Labelled rows of each kind that teach the model, at most; they are those of the smallest hash of the id.
 SAMPLE = {1: 2000, 0: 4000}
+LONGEST = 20_000  # characters of a text that teaches, so that what the driver holds is bounded; longer ones teach nothing
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 LEXICON = 400  # terms at most
 SHORTEST_FUZZY = 5  # shorter terms must be spelled right
 WINDOW = 4  # words on either side of a hit
-#: Words that report what another said.
-REPORTING = frozenset("said says wrote writes called quote quoted quoting word term so-called".split())
+MOST_STATES, MOST_MOVES = 200_000, 2_000_000  # that an automaton keeps
+#: Words that report what another said, in English, German, Spanish and French.
+REPORTING = frozenset(
+    "said says wrote writes called quote quoted quoting word term so-called".split()
+    + "sagte sagt schrieb schreibt nannte zitat zitierte zitiert wort begriff sogenannte".split()
+    + "dijo dice escribió escribe llamó cita citó citando palabra término llamado".split()
+    + "dit écrit écrivit appela citation cita citant mot terme soi-disant".split()
+)
 QUOTES = "\"'“”„«»‘’`"
 STRIP = ".,!?;:()[]{}…-*_%#$&|<>" + QUOTES
 
@@ -60,6 +67,10 @@ class LevenshteinTrie:
                     self.longest.append(self.longest[node] + 1)
                 node = nxt
             self.ends[node] |= 2 if t.endswith("*") else 1
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops all states and moves built so far."""
         self.moves: dict[tuple[int, str], int] = {}
         self.states: list[frozenset] = []
         self.codes: list[tuple[int, int]] = []
@@ -108,13 +119,13 @@ class LevenshteinTrie:
         return self.state(to) if to else -1
 
     def find(self, word: str) -> int:
+        if len(self.states) > MOST_STATES or len(self.moves) > MOST_MOVES:
+            self.forget()
         at, moves = self.start, self.moves
         for ch in word:
             key = (at, ch)
             nxt = moves.get(key)
             if nxt is None:
-                if len(moves) > 2_000_000:
-                    moves.clear()
                 nxt = moves[key] = self.move(at, ch)
             if nxt < 0:
                 return 0
@@ -265,7 +276,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         some = rows.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = some if chosen is None else chosen.unionByName(some)
     ids = docs.sparkSession.createDataFrame(chosen.collect(), "doc_id long, toxic int")
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).collect()
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
+    texts = texts.filter(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST).collect()
     toxic = [r["text"] or "" for r in texts if r["toxic"] == 1]
     clean = [r["text"] or "" for r in texts if r["toxic"] != 1]
     if not toxic or not clean:
