@@ -14,10 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_column, bucket_column, bucket_of, record_batch
+from .common import arrow_column, bucket_column, bucket_of, record_batch
 
 FOLDS, HELD_OUT = 5, 0
 LENGTH = 300  # ranks in a profile
@@ -121,14 +121,12 @@ def fit(docs: DataFrame) -> Profiles:
                 yield record_batch({"lang": [lang] * len(g), "g": g.view(np.int64), "n": n}, pa.schema([("lang", pa.string()), ("g", pa.int64()), ("n", pa.int64())]))
 
     found = rows.filter(place < share).select("lang", "text").mapInArrow(count, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
-    scratch = Scratch(docs.sparkSession, "language-id")
-    found = scratch.write(found, "counts")
-    languages, ranks = sorted(counts), []
-    for lang in languages:
-        top = found.filter(F.col("lang") == lang).orderBy(F.desc("n"), "g").limit(4 * LENGTH).collect()
-        ranks.append(ranking(np.array([r["g"] for r in top], np.int64).view(np.uint64), np.array([r["n"] for r in top], np.int64)))
-    scratch.drop(found)
-    return Profiles(languages, ranks)
+    # Equal counts by key, which is unsigned: the lowest sign first.
+    place = Window.partitionBy("lang").orderBy(F.desc("n"), F.col("g").bitwiseXOR(F.lit(-(1 << 63))))
+    top = found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= LENGTH).collect()
+    languages = sorted(counts)
+    ranks = [[r["g"] for r in sorted((r for r in top if r["lang"] == lang), key=lambda r: r["rank"])] for lang in languages]
+    return Profiles(languages, [np.array(r, np.int64).view(np.uint64) for r in ranks])
 
 
 def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
