@@ -349,3 +349,148 @@ def test_pipeline(spark, docs, texts, tmp_path):
     stages = [n for n, _ in corpus_pipeline.STAGES]
     assert stages == ["toxicity", "line dedup", "MinHash near-dedup", "substring dedup", "packing"]
     assert SCHEMA and corpus_pipeline.run(spark, str(tmp_path)).count() > 50
+
+
+def rank_brute(text, length=language_id.LENGTH):
+    """A text's n-grams of one to four characters by frequency: runs of letters with one blank at each end."""
+    spaced = " " + re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in text.lower())).strip() + " "
+    counts = Counter()
+    for n in (1, 2, 3, 4):
+        for k in range(len(spaced) - n + 1):
+            g = spaced[k : k + n]
+            if g != " " and " " not in g[1:-1]:
+                counts[g] += 1
+    return counts
+
+
+def packed(gram):
+    """The n-gram as the operator's integer, which breaks ties of frequency."""
+    x = 0
+    for c in gram:
+        x = (x * (0x1FFFFF if len(gram) > 3 else 1 << 21) + (0 if c == " " else ord(c))) % (1 << 64)
+    return x ^ (len(gram) << 60) % (1 << 64)
+
+
+def test_language_id_against_brute_force(spark):
+    """Profiles, out-of-place distances and scores, on words that languages share in part."""
+    rng = random.Random(21)
+    stems = ["an", "der", "tion", "que", "sch", "el", "ou", "ing", "ß", "ñ", "th", "en"]
+    lean = {"aa": [9, 1, 5, 1, 1, 2, 1, 9, 1, 1, 9, 3], "bb": [4, 9, 1, 1, 9, 2, 1, 2, 6, 1, 1, 9], "cc": [3, 1, 5, 9, 1, 9, 6, 1, 1, 6, 1, 4]}
+    word = lambda lang: "".join(rng.choices(stems, lean[lang], k=rng.randrange(1, 4)))
+    rows = [(k, " ".join(word(lang) for _ in range(rng.randrange(3, 40))) + rng.choice(["", " 12, 3!", " -- "]), lang) for k in range(150) for lang in [list(lean)[k % 3]]]
+    profiles = {}
+    for lang in lean:
+        counts = sum((rank_brute(t) for k, t, x in rows if x == lang and crc(k, 5) != 0), Counter())
+        profiles[lang] = {g: r for r, g in enumerate(sorted(counts, key=lambda g: (-counts[g], packed(g)))[: language_id.LENGTH])}
+    data = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fitted = language_id.fit(data)
+    got = {r["doc_id"]: r for r in language_id.identify(data, fitted).collect()}
+    for k, text, _ in rows:
+        counts = rank_brute(text)
+        own = sorted(counts, key=lambda g: (-counts[g], packed(g)))[: language_id.LENGTH]
+        away = {x: sum(abs(p[g] - r) if g in p else language_id.LENGTH for r, g in enumerate(own)) for x, p in profiles.items()}
+        best = min(sorted(away), key=away.get)
+        near = min(v for x, v in away.items() if x != best)
+        assert got[k]["lang_pred"] == best and got[k]["score"] == pytest.approx(0.5 * (1 - away[best] / (language_id.LENGTH * len(own))) + 0.5 * (near - away[best]) / max(1, near)), k
+
+
+def test_lm_score_against_brute_force(docs, texts):
+    """The interpolated probability of every text from counts of the whole training part and the weights that EM finds."""
+    tokens = {d: [w.lower() for w in words(t)] + [None] for d, t in texts.items()}
+
+    def counted(ids):
+        uni, bi, begins = Counter(), Counter(), 0
+        for d in ids:
+            begins += 1
+            for a, b in zip(["begin", *tokens[d]], tokens[d], strict=False):
+                uni[b] += 1
+                bi[a, b] += 1
+        return uni, bi, begins
+
+    def parts(model, d):
+        uni, bi, begins = model
+        n = sum(uni.values())
+        for a, b in zip(["begin", *tokens[d]], tokens[d], strict=False):
+            context = begins if a == "begin" else uni[a]
+            yield context.bit_length(), uni[b] / n, bi[a, b] / max(1, context)
+
+    train = [d for d in texts if crc(d, 7) != 2]
+    rest, deleted = counted([d for d in train if crc(d, 7) != 3]), [d for d in train if crc(d, 7) == 3]
+    octave = lambda p: round(4 * math.log2(p)) if p else lm_scoring.NONE
+    cells = Counter((c, octave(p), octave(q)) for d in deleted for c, p, q in parts(rest, d))
+
+    def learned(chosen):
+        w = [1 / 3] * 3
+        for _ in range(60):
+            total = [1e-3] * 3
+            for (_, p, q), n in chosen.items():
+                share = [w[0] / (len(rest[0]) + 1), w[1] * (0 if p == lm_scoring.NONE else 2 ** (p / 4)), w[2] * (0 if q == lm_scoring.NONE else 2 ** (q / 4))]
+                total = [t + n * s / sum(share) for t, s in zip(total, share, strict=True)]
+            w = [t / sum(total) for t in total]
+        return w
+
+    weights = {c: learned({k: n for k, n in cells.items() if k[0] == c}) for c in {k[0] for k in cells}}
+    whole, any_ = counted(train), learned(cells)
+    rows = {r["doc_id"]: r["score"] for r in lm_scoring.score(docs).collect()}
+    for d in texts:
+        want = 0.0
+        for c, p, q in parts(whole, d):
+            w = weights.get(c, any_)
+            want += math.log10(w[0] / (len(whole[0]) + 1) + w[1] * p + w[2] * q)
+        assert rows[d] == pytest.approx(want, rel=1e-6), d
+
+
+def test_quality_score_against_brute_force(spark, docs, texts):
+    """Hashed counts, ratios, scores and verdicts; only the hash itself is Spark's."""
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(20)], "doc_id long, quality int, toxic int")
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    vocabulary = sorted({w for t in texts.values() for w in word.findall(t or "")})
+    pairs = sorted({p for t in texts.values() for w in [word.findall(t or "")] for p in zip(w, w[1:], strict=False)})
+    from pyspark.sql import functions as F
+
+    one = {r["w"]: (r["h"], r["b"]) for r in spark.createDataFrame([(w,) for w in vocabulary], "w string").select("w", F.xxhash64("w").alias("h")).withColumn("b", F.pmod("h", F.lit(quality.BUCKETS))).collect()}
+    two = {(r["x"], r["y"]): r["b"] for r in spark.createDataFrame(pairs, "x string, y string").select("x", "y", F.pmod(F.xxhash64(F.xxhash64("x"), F.xxhash64("y")), F.lit(quality.BUCKETS)).alias("b")).collect()}
+    buckets = {}
+    for d, t in texts.items():
+        w = word.findall(t or "")
+        buckets[d] = [one[x][1] for x in w] + [two[p] for p in zip(w, w[1:], strict=False)]
+    raw, target = Counter(b for bs in buckets.values() for b in bs), Counter(b for d in range(20) for b in buckets[d])
+    s, n = quality.SMOOTHING, quality.BUCKETS
+    ratio = [math.log((target[b] + s) / (sum(target.values()) + s * n)) - math.log((raw[b] + s) / (sum(raw.values()) + s * n)) for b in range(n)]
+    assert quality.ratios(docs, labels) == pytest.approx(ratio)
+    for r in quality.judge(docs, ratio).collect():
+        bs = buckets[r["doc_id"]]
+        want = sum(ratio[b] for b in bs) / len(bs) if bs else 0.0
+        assert r["score"] == pytest.approx(want) and r["kept"] == (not r["base_failed"] and want >= quality.THRESHOLD)
+
+
+def test_toxicity_score_against_brute_force():
+    """Scores of a given model from edit distances of every word to every term."""
+    def apart(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            old, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                old, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, old + (x != y))
+        return row[-1]
+
+    terms, weights = ["idiot", "scum", "worthless"], np.array([-2.0, 1.5, 0.3, 0.1, -0.7, 0.4, 0.2])
+    model, rng = toxicity.Model(terms, weights), random.Random(22)
+    pool = ["idiot", "idoit", "idiott,", "Scum!", "scun", "worthles", "you", "are", "the", "a", "calm", "word", "he", "said:", '"idiot"', "“", "fine.”", "Idiot"]
+    for _ in range(300):
+        ws = [rng.choice(pool) for _ in range(rng.randrange(0, 25))]
+        hits, wrong, reported = 0.0, 0, 0
+        for k, w in enumerate(ws):
+            plain = w.strip(toxicity.STRIP).lower()
+            edits = min((apart(plain, t) for t in terms if apart(plain, t) <= (len(t) >= 5)), default=None)
+            if edits is None:
+                continue
+            before, after = ws[max(0, k - 4) : k + 1], ws[k : k + 5]
+            opened, closed = any(x[0] in toxicity.QUOTES for x in before), any(x.rstrip(".,!?;:")[-1:] and x.rstrip(".,!?;:")[-1] in toxicity.QUOTES for x in after)
+            if opened and closed or any(x.strip(toxicity.STRIP).lower() in toxicity.REPORTING for x in before[:-1]):
+                reported += 1
+            else:
+                hits += 0.8 if edits else 1
+                wrong += bool(edits)
+        f = [1, math.log1p(hits), math.log1p(wrong), 0, math.log1p(reported), float(hits >= 2), min(1.0, 100 * hits / len(ws)) if ws else 0]
+        assert model.score(" ".join(ws)) == pytest.approx(1 / (1 + math.exp(-float(weights @ f)))), ws
