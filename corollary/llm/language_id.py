@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_column, bucket_column, bucket_of, record_batch
+from .common import arrow_column, bucket_column, bucket_of, mix, record_batch
 
 FOLDS, HELD_OUT = 5, 0
 LENGTH = 300  # ranks in a profile
@@ -45,21 +45,20 @@ def letters(text: str) -> np.ndarray:
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of a text as integers of 21 bits a character (the longest ones folded), with counts."""
+    """The n-grams of a text as integers with counts: 21 bits a character up to three, hashed with the fourth."""
     a = letters(text)
     out = []
     for n in ORDERS:
         g = np.zeros(max(0, len(a) - n + 1), np.uint64)
-        for k in range(n):
-            g = g * np.uint64(0x1FFFFF if n > 3 else 1 << 21) + a[k : k + len(g)]
-        inner = np.ones(len(g), bool)
+        with np.errstate(over="ignore"):
+            for k in range(n):
+                x = a[k : k + len(g)]
+                g = mix(mix(g) + x) if k == 3 else g * np.uint64(1 << 21) + x
+        inner = a != 0 if n == 1 else np.ones(len(g), bool)
         for k in range(1, n - 1):
             inner &= a[k : k + len(g)] != 0
-        if n == 1:
-            inner = a != 0
         out.append(g[inner] ^ np.uint64(n << 60))
-    g = np.concatenate(out)
-    return np.unique(g, return_counts=True)
+    return np.unique(np.concatenate(out), return_counts=True)
 
 
 def ranking(keys: np.ndarray, counts: np.ndarray, length: int = LENGTH) -> np.ndarray:

@@ -365,10 +365,16 @@ def rank_brute(text, length=language_id.LENGTH):
 
 def packed(gram):
     """The n-gram as the operator's integer, which breaks ties of frequency."""
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % (1 << 64)
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % (1 << 64)
+        return x ^ x >> 31
+
     x = 0
-    for c in gram:
-        x = (x * (0x1FFFFF if len(gram) > 3 else 1 << 21) + (0 if c == " " else ord(c))) % (1 << 64)
-    return x ^ (len(gram) << 60) % (1 << 64)
+    for k, c in enumerate(gram):
+        code = 0 if c == " " else ord(c)
+        x = mixed((mixed(x) + code) % (1 << 64)) if k == 3 else (x << 21) + code
+    return x ^ len(gram) << 60
 
 
 def test_language_id_against_brute_force(spark):
