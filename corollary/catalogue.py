@@ -14,7 +14,7 @@ from .functions.reach import reach
 from .plans.ir import ArgType
 from .plans.modules import RuleLanguage
 from .plans.vocabulary import Builtin, Vocabulary
-from .sources.sources import FrameSource
+from .sources.sources import CITES, FrameSource
 from .values import N, S, Value
 
 #: Slim relations: path, table, expressions, argument names.
@@ -86,6 +86,16 @@ def source(spark: SparkSession, sf_dir: str) -> FrameSource:
     out.add("heaps.edge", lambda: read("part").filter("p_partkey % 15 > 0").selectExpr("CAST(p_partkey - p_partkey % 15 + floor((p_partkey % 15 - 1) / 2) AS BIGINT) AS parent", "p_partkey AS child"), ["parent", "child"], required=KEYS)
     order = Window.partitionBy("user_id").orderBy("ts")
     out.add("event.next", lambda: read("events").select(F.col("event_id").alias("a"), F.lead("event_id").over(order).alias("b")).filter("b IS NOT NULL"), ["a", "b"], required=KEYS)
+    # Relations whose rows cite the keys they come from.
+    cited = lambda t, name, key, a, b: read(t).select(F.col(a), F.col(b), F.array(F.concat(F.lit(f"{name}:"), F.col(key).cast("string"))).alias(CITES))
+    out.add("cited.region", lambda: cited("region", "region", "r_regionkey", "r_regionkey", "r_name"), ["rk", "name"], required=KEYS)
+    out.add("cited.nation", lambda: cited("nation", "nation", "n_nationkey", "n_nationkey", "n_regionkey"), ["nk", "rk"], required=KEYS)
+    heap = lambda: read("part").filter("p_partkey % 15 > 0").selectExpr("CAST(p_partkey - p_partkey % 15 + floor((p_partkey % 15 - 1) / 2) AS BIGINT) AS parent", "p_partkey AS child", f"array(concat('edge:', p_partkey)) AS {CITES}")
+    out.add("cited.edge", heap, ["parent", "child"], required=KEYS)
+    # A status is one of three letters.
+    out.add("order.state", lambda: read("orders").select("o_orderkey", "o_orderstatus"), ["o", "state"], [ArgType(), ArgType(domain=("F", "O", "P"))], required=KEYS)
+    # Patterns that are data: a glob and a regular expression from each region's name.
+    out.add("pattern", lambda: read("region").selectExpr("r_regionkey", "concat('*', lower(substr(r_name, 2, 1)), '* *[', lower(substr(r_name, 1, 1)), '-z]')", "concat('^', lower(substr(r_name, 1, 1)), '.*', lower(substr(r_name, 2, 1)), '$')").toDF("rk", "glob", "regex"), ["rk", "glob", "regex"], required=KEYS)
     out.add("neighbour_text", lambda: read("region").selectExpr("CAST(r_regionkey AS STRING) AS t", "CAST(r_regionkey AS STRING) AS size"), ["t", "size"])
     # Supplier numbers under 12 as one ring, each leading to the next and the last back; with fewer suppliers it stays open.
     out.add("ring.edge", lambda: read("supplier").filter("s_suppkey < 12").select(F.col("s_suppkey").alias("a"), F.pmod(F.col("s_suppkey") + 1, F.lit(12)).alias("b")), ["a", "b"], required=KEYS)
@@ -119,12 +129,18 @@ def neighbours() -> Builtin:
     return Builtin(2, ["of", "is"], doc="the whole numbers on either side", gen=gen, modes=[(True, False)])
 
 
+def digits(args: list[Value]) -> bool:
+    """A host's test in Python: the digits of a whole number add up to an even number."""
+    return sum(map(int, args[0].s.lstrip("-"))) % 2 == 0
+
+
 def engine(spark: SparkSession, sf_dir: str, **options) -> Engine:
     s = source(spark, sf_dir)
     v = install(Vocabulary(s))
     v.add_predicate("tree.under", reach("tree.edge"))
     v.add_predicate("neighbour", neighbours())
     v.add_predicate("even", Builtin(1, ["x"], doc="a whole number that 2 divides", column=lambda c: c.num % 2 == 0))
+    v.add_predicate("even_digits", Builtin(1, ["x"], doc="a whole number whose digits add up to an even number", holds=digits))
     v.add_language(RuleLanguage())
     v.add_module("market", "rules", MODULE, "catalogue")
     return Engine(spark, v, s, **options)
@@ -139,6 +155,7 @@ class Item:
     rounded: tuple[str, ...] = ()
     options: dict = field(default_factory=dict)
     cites: bool = False
+    holds: bool = False  # an answer without columns, given as whether it has a row
 
 
 TREE = "under(?a, ?b) :- tree.edge(?a, ?b); under(?a, ?c) :- under(?a, ?b), tree.edge(?b, ?c);\n"
@@ -152,6 +169,8 @@ GROWING_SQL = """WITH RECURSIVE e AS (SELECT p.p_partkey AS a, c.p_partkey AS b
 up(a, b) AS (SELECT a, b FROM e UNION SELECT up.a, e.b FROM up JOIN e ON up.b = e.a) """
 HEAPS_SQL = """WITH RECURSIVE e AS (SELECT CAST(p_partkey - p_partkey % 15 + (p_partkey % 15 - 1) // 2 AS BIGINT) AS a, p_partkey AS b FROM part WHERE p_partkey % 15 > 0),
 sg(x, y) AS (SELECT f.b, g.b FROM e f JOIN e g ON f.a = g.a UNION SELECT f.b, g.b FROM sg JOIN e f ON sg.x = f.a JOIN e g ON sg.y = g.a) """
+CITED_SQL = """WITH RECURSIVE e AS (SELECT CAST(p_partkey - p_partkey % 15 + (p_partkey % 15 - 1) // 2 AS BIGINT) AS a, p_partkey AS b FROM part WHERE p_partkey % 15 > 0),
+below(a, b, cites) AS (SELECT a, b, ['edge:' || b] FROM e UNION ALL SELECT r.a, e.b, list_append(r.cites, 'edge:' || e.b) FROM below r JOIN e ON r.b = e.a) """
 CUSTOMER_REGION = "customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
 
 ITEMS: dict[str, Item] = {
@@ -250,7 +269,19 @@ ITEMS: dict[str, Item] = {
     "reach_predicate": Item("tree.under(5, ?b) => ?b", TREE_SQL + "SELECT b FROM under WHERE a = 5"),
     "reach_backward": Item("tree.under(?a, 150) => ?a", TREE_SQL + "SELECT a FROM under WHERE b = 150"),
     "generator_udtf": Item("region.name(?rk, _), neighbour(?rk, ?x), region.name(?x, ?name) => ?rk, ?name", "SELECT DISTINCT a.r_regionkey AS rk, b.r_name AS name FROM region a JOIN region b ON abs(a.r_regionkey - b.r_regionkey) = 1"),
-    "cites_row": Item("region.name(?rk, ?name) => ?name", None, cites=True),
+    # provenance: citations of a row, of a join, of groups, of rule heads with aggregates, of derived and recursive rows
+    "cites_row": Item("cited.region(?rk, ?name) => ?name", "SELECT r_name AS name, ['region:' || r_regionkey] AS cites FROM region", cites=True),
+    "cites_join": Item("cited.nation(?nk, ?rk), cited.region(?rk, ?name) => ?nk, ?name", "SELECT n_nationkey AS nk, r_name AS name, ['nation:' || n_nationkey, 'region:' || r_regionkey] AS cites FROM nation JOIN region ON n_regionkey = r_regionkey", cites=True),
+    "cites_group": Item("cited.nation(?nk, ?rk), cited.region(?rk, ?name) => ?name, count(?nk)", "SELECT r_name AS name, count(*) AS n, list_sort(list('nation:' || n_nationkey) || ['region:' || r_regionkey]) AS cites FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, r_regionkey", {"count(nk)": "n"}, cites=True),
+    "cites_head_aggregate": Item("size(?rk, count(?nk)) :- cited.nation(?nk, ?rk); size(?rk, ?n), ?n > 4 => ?rk, ?n", "SELECT n_regionkey AS rk, count(*) AS n, list_sort(list('nation:' || n_nationkey)) AS cites FROM nation GROUP BY 1 HAVING count(*) > 4", cites=True),
+    "cites_derived": Item("in_region(?nk, ?name) :- cited.nation(?nk, ?rk), cited.region(?rk, ?name); in_region(?nk, ?name) => ?nk", "SELECT n_nationkey AS nk, ['nation:' || n_nationkey, 'region:' || r_regionkey] AS cites FROM nation JOIN region ON n_regionkey = r_regionkey", cites=True),
+    "cites_recursion": Item("below(?a, ?b) :- cited.edge(?a, ?b); below(?a, ?c) :- below(?a, ?b), cited.edge(?b, ?c); below(?a, ?b) => ?a, ?b", CITED_SQL + "SELECT a, b, list_sort(cites) AS cites FROM below", cites=True),
+    # answers without columns, closed domains, host filters in Python, patterns that are data
+    "no_columns": Item('region.name(_, "ASIA"), not region.name(_, "ATLANTIS"), nation.region(_, 2)', "SELECT count(*) > 0 AS holds FROM region, nation WHERE r_name = 'ASIA' AND n_regionkey = 2 AND NOT EXISTS (SELECT 1 FROM region WHERE r_name = 'ATLANTIS')", holds=True),
+    "closed_domain": Item('order.state(?o, "P") => ?o', "SELECT DISTINCT o_orderkey AS o FROM orders WHERE o_orderstatus = 'P'"),
+    "host_filter_python": Item("part.size(?p, ?size), even_digits(?p) => ?p", "SELECT DISTINCT p_partkey AS p FROM part WHERE list_sum([CAST(d AS INT) FOR d IN string_split(CAST(p_partkey AS VARCHAR), '')]) % 2 = 0"),
+    "glob_from_data": Item("part.name(?p, ?name), pattern(?rk, ?glob, _), str.glob(?name, ?glob) => ?p, ?rk", "SELECT DISTINCT p_partkey AS p, r_regionkey AS rk FROM part JOIN region ON regexp_full_match(p_name, '.*' || lower(substr(r_name, 2, 1)) || '.* .*[' || lower(substr(r_name, 1, 1)) || '-z]')"),
+    "match_from_data": Item("part.name(?p, ?name), pattern(?rk, _, ?regex), str.match(?name, ?regex) => ?p, ?rk", "SELECT DISTINCT p_partkey AS p, r_regionkey AS rk FROM part JOIN region ON regexp_matches(p_name, '^' || lower(substr(r_name, 1, 1)) || '.*' || lower(substr(r_name, 2, 1)) || '$')"),
     "rollup": Item(TREE + "qty(?p, sum(?q)) :- line.part(?p, ?q); under(?a, ?b), qty(?b, ?q) => ?a, sum(?q)", TREE_SQL + "SELECT a, sum(q) AS qty FROM under JOIN (SELECT l_partkey AS p, sum(l_quantity) AS q FROM lineitem GROUP BY 1) ON p = b GROUP BY 1", {"sum(q)": "qty"}),
 }
 
@@ -258,7 +289,7 @@ ITEMS: dict[str, Item] = {
 def run(spark: SparkSession, sf_dir: str, name: str, **options) -> DataFrame:
     item = ITEMS[name]
     a = engine(spark, sf_dir, **options).query(item.program, bind=item.bind, cites=item.cites)
-    df = a.df
+    df = a.raw.agg((F.count("*") > 0).alias("holds")) if item.holds else a.df
     for old, new in item.names.items():
         df = df.withColumnRenamed(old, new)
     for c in item.rounded:
