@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import WORD_GAP, Scratch, free_name
 
 SIMILARITY_PERCENT = 80
-PASSES = 5  # over ranges of words
+PASSES = 3  # over ranges of words
 BITS = 16  # of the hash that a rarity bucket has
 HASH = (1 << 56) - 1  # of a word's code; its rarity is above
 PLACE = ["doc", "pos", "c"]  # of a class: its first place, and the hash of its set
@@ -71,8 +71,9 @@ def rarity(docs: DataFrame) -> list[int]:
     """For each hash bucket how often its words occur, as levels."""
     counts = docs.select(F.explode(F.split(F.lower("text"), WORD_GAP)).alias("w")).groupBy(bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("n"))
     levels = [0] * (1 << BITS)
-    for r in counts.collect():  # one row a bucket
-        levels[r["b"]] = level(r["n"])
+    found = counts.toArrow()  # one row a bucket
+    for b, n in zip(found["b"].to_numpy().tolist(), found["n"].to_numpy().tolist(), strict=True):
+        levels[b] = level(n)
     return levels
 
 
@@ -179,11 +180,13 @@ def prefix_pairs(asking: DataFrame, others: DataFrame) -> DataFrame:
 def asked_for(asking: DataFrame) -> Column:
     """Whether some class asks for a word, from a table of marks of fixed size; other words may pass too."""
     mark = F.shiftrightunsigned(F.xxhash64("word"), 64 - MARKS)
+    place, bit = F.shiftright(mark, 6).cast("int"), mark.bitwiseAND(F.lit(63)).cast("int")
+    rows = asking.select(F.explode("prefix").alias("word")).groupBy(place.alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
     marks = [0] * (1 << MARKS - 6)
-    for r in asking.select(F.explode("prefix").alias("word")).select(mark.alias("m")).distinct().collect():  # no more than there are marks
-        marks[r["m"] >> 6] |= 1 << (r["m"] & 63)
-    table = F.from_json(F.lit(json.dumps([m - (1 << 64) if m >> 63 else m for m in marks])), "array<bigint>")
-    return F.getbit(F.get(table, F.shiftright(mark, 6).cast("int")), mark.bitwiseAND(F.lit(63)).cast("int")) == 1
+    for r in rows.collect():  # one row for 64 marks
+        marks[r["at"]] = r["bits"]
+    table = F.from_json(F.lit(json.dumps(marks)), "array<bigint>")
+    return F.getbit(F.get(table, place), bit) == 1
 
 
 def closest(p: DataFrame) -> DataFrame:
