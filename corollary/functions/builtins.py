@@ -25,8 +25,8 @@ def _matcher(translate):
     def test(s: Cell, pattern: Cell | Value) -> Column:
         if isinstance(pattern, Value):
             return s.text.rlike(translate(pattern.s))
-        # A pattern read from data: each distinct one is translated once in a worker.
-        java = F.udf(lambda p: translate(p or ""), T.StringType())(pattern.text)
+        # A pattern read from data: batches of them go to a worker, which translates each distinct one once.
+        java = F.udf(lambda p: translate(p or ""), T.StringType(), useArrow=True)(pattern.text)
         return F.call_function("rlike", s.text, java)
 
     return test

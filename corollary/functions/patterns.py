@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from functools import lru_cache
 
 from ..errors import QueryError
 
@@ -13,6 +14,7 @@ def _code(c: str) -> str:
 
 
 @lru_cache(maxsize=4096)
+@lru_cache(10_000)
 def glob_to_java(pattern: str) -> str:
     """`*` any run, `?` one character, `[...]` a class that `^` negates and in which a first `]` stands for itself; nothing escapes."""
     out, k = [], 0
@@ -51,6 +53,7 @@ _REFUSED = ((r"\(\?(?:=|!|<=|<!)", "lookaround"), (r"\(\?>", "atomic groups"), (
 
 
 @lru_cache(maxsize=4096)
+@lru_cache(10_000)
 def regex_to_java(pattern: str) -> str:
     """A linear-time dialect's pattern: what it lacks is refused, and what Java reads otherwise is spelled out."""
     bare = re.sub(r"\[\^?\]?(?:\\.|[^\]\\])*\]", lambda m: "x" * len(m.group()), pattern)

@@ -97,7 +97,7 @@ class BodyPlanner:
                 rel = overrides.get(k) or self.relation(lit.pos.relation)
                 if rel is None:
                     return None
-                b = self._join(b, lit, rel, later, set_valued)
+                b = self._containing(b, lit, rel, todo) or self._join(b, lit, rel, later, set_valued)
             elif lit.neg:
                 b = self._without(b, lit)
             else:
@@ -211,6 +211,40 @@ class BodyPlanner:
         keep = [*names.values(), *extra]
         return Bindings(df.select(*keep) if keep else df.select(F.lit(0).alias(fresh("one"))), names, lanes)
 
+    def _containing(self, b: Bindings | None, lit: Literal, rel: Rel, todo: list[tuple[int, Literal]]) -> Bindings | None:
+        """A join of two parts that only a test links: that a text of one holds a text of the other.
+
+        A word with a space on either side in the shorter text has one in the longer too, so they meet on the longest such
+        word; texts without one meet all.  The test itself still follows.
+        """
+        if b is None or self.provenance.any or any(v in b.names for v in lit.pos.variables):
+            return None
+        s = self.scan(rel, lit.pos)
+        for _, x in todo:
+            if x.pos and x.pos.relation == "str.contains" and (p := self._builtin(x.pos)) and p.filters and all(t.variable for t in x.pos.args):
+                text, part = (t.var for t in x.pos.args)
+                if text in b.names and part in s.names:
+                    return self._meet(b, s, text, part)
+                if text in s.names and part in b.names:
+                    return self._meet(s, b, text, part)
+        return None
+
+    def _meet(self, holds: Bindings, held: Bindings, text: str, part: str) -> Bindings:
+        word, key, at = fresh("word"), fresh("key"), fresh("at")
+        pieces = F.split(held.cell(part).text, " ")
+        inner = F.when(F.size(pieces) > 2, F.slice(pieces, F.lit(2), F.size(pieces) - 2))
+        longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+        parts = held.df.withColumn(key, longest)
+        keyed, loose = parts.filter(F.col(key) != ""), parts.filter(F.coalesce(F.col(key) == "", F.lit(True)))
+        texts = holds.df.withColumn(at, F.xxhash64(holds.cell(text).text))
+        # Only hashes of texts go with their words, and only words that are looked for come back.
+        words = texts.select(F.col(at), F.explode(F.array_distinct(F.split(holds.cell(text).text, " "))).alias(word))
+        found = words.join(keyed.select(key).distinct(), F.col(word) == F.col(key)).select(F.col(at), F.col(key)).distinct()
+        names, lanes = holds.names | held.names, holds.lanes | held.lanes
+        columns = list(names.values())
+        near = texts.join(found, at).join(keyed, key).select(*columns)
+        return Bindings(near.unionByName(holds.df.crossJoin(loose).select(*columns)), names, lanes)
+
     def _keys(self, b: Bindings, s: Bindings, shared: list[str]) -> tuple[DataFrame, DataFrame, Column | None]:
         """Both sides and the join condition: plain null-safe equality of native columns wherever lanes agree."""
         left, right, on = b.df, s.df, None
@@ -336,7 +370,7 @@ def _value(r) -> Value:
 
 
 def _python_filter(holds):
-    return F.udf(lambda *args: bool(holds([_value(a) for a in args])), T.BooleanType())
+    return F.udf(lambda *args: bool(holds([_value(a) for a in args])), T.BooleanType(), useArrow=True)
 
 
 def _python_generator(gen):
@@ -352,4 +386,4 @@ def _python_generator(gen):
             out.append(([(v.s, v.num, v.absent, v.unit) for v in values], list(cites)))
         return out
 
-    return F.udf(call, T.ArrayType(row))
+    return F.udf(call, T.ArrayType(row), useArrow=True)

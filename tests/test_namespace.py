@@ -269,3 +269,18 @@ def test_stream(spark, tmp_path):
     assert sorted(map(tuple, spark.table("answers").collect())) == [(1, "first"), (2, "none")]
     with pytest.raises(QueryError, match="a stream answers"):
         answers(e, "event(?k, ?v) => count(?k)")
+
+
+def test_containing_texts_meet_on_a_word(spark):
+    """Texts that hold others: by an inner word, by less than that, at their ends, several times, and absent."""
+    s = MemSource().declare("doc", "d", "t").declare("item", "i", "b")
+    texts = ["the quick brown fox jumps", "a quick brown fox", "quick  brown", "fox", "", "brown fox jumps over", "xquick brown foxes", "the quick brown fox jumps"]
+    items = ["quick brown fox", "fox", "brown", "", "k brown f", "the  quick", "ck  br", "quick brown fox jumps", "quick brown", " fox "]
+    for k, t in enumerate(texts):
+        s.add("doc", k, t)
+    for k, t in enumerate(items):
+        s.add("item", k, t)
+    e = Engine(spark, install(Vocabulary(s)), s)
+    want = sorted((d, i) for d, t in enumerate(texts) for i, b in enumerate(items) if b in t)
+    for q in ("doc(?d, ?t), item(?i, ?b), str.contains(?t, ?b) => ?d, ?i", "item(?i, ?b), str.contains(?t, ?b), doc(?d, ?t) => ?d, ?i"):
+        assert [(int(d), int(i)) for d, i in e.query(q).texts()] == want
