@@ -4,20 +4,28 @@ Documents are dealt to chunks by a hash of their id.  A chunk sends each of its
 shard that owns the key's range, with what it knows about it; the shard merges what all chunks know and
 answers every chunk in the order of its keys, so that an answer needs no keys.  A key that a third of all
 rows hold is still one entry a chunk.
+
+A sender deals its keys to at most FAN shards, so that messages stay large however many chunks there are.  More
+chunks than that take several levels: a shard merges what a block of senders say about a range of keys and
+asks on as one sender, by narrower ranges and larger blocks, until a shard hears all chunks about its range;
+answers come back the same way.  Messages are FAN a sender and level, and levels grow with the log of the corpus.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunk_column, mix, word_hashes
+from .common import Scratch, chunk_column, mix, word_hashes
 
 U = np.uint64
+#: Shards that one sender deals its keys to at most.
+FAN = 256
 BASE, BASE2 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 
 
@@ -64,12 +72,52 @@ def window_hashes(h: np.ndarray, n: int, base: np.uint64) -> np.ndarray:
         return mix((sums[n:] - sums[:-n]) * up[: size - n + 1])
 
 
-def shard_bounds(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard's part of the sorted keys begins, and the end."""
-    edges = np.array([(k << 64) // shards for k in range(1, shards)], dtype=U)
+def shard_bounds(keys: np.ndarray, shards: int, first: int = 0, of: int | None = None) -> np.ndarray:
+    """Where each part of the sorted keys begins, and the end; the parts are `shards` of `of` equal ranges, from the range `first` on, and hold all keys."""
+    edges = np.array([(k << 64) // (of or shards) for k in range(first + 1, first + shards)], dtype=U)
     return np.r_[0, np.searchsorted(keys, edges), len(keys)]
 
 
+class Hops:
+    """The levels by which chunks ask.
+
+    Ranges of keys number radix ** (level + 1) at a level.  A shard is a block of radix ** (level + 1) chunks and a
+    range, as block * ranges + range; it is the sender of the next level.
+    """
+
+    def __init__(self, chunks: int, fan: int | None = None):
+        fan = fan or FAN
+        self.levels = self.radix = 1
+        while fan**self.levels < chunks:
+            self.levels += 1
+        while self.radix**self.levels < chunks:
+            self.radix += 1
+
+    def deal(self, sender: int, keys: np.ndarray, level: int = 0) -> list[tuple[int, slice]]:
+        """The shards that a sender asks about its sorted keys, and their parts of the keys."""
+        ranges = self.radix**level
+        block, own = divmod(sender, ranges)
+        first = own * self.radix
+        at = shard_bounds(keys, self.radix, first, ranges * self.radix)
+        shard = block // self.radix * ranges * self.radix + first
+        return [(shard + k, slice(at[k], at[k + 1])) for k in np.flatnonzero(np.diff(at)).tolist()]
+
+    def ask(self, asked: DataFrame, merge: Callable, reply: Callable, scratch: Scratch, level: int = 0) -> DataFrame:
+        """Replies by sender (column chunk) to messages (chunk, shard, ...).
+
+        merge(level) gives the function that makes a shard's messages into its own as a sender of that level; reply(level)
+        gives a schema and the function that answers a shard's messages, from what the next level replied or, at the
+        last level (None), from the messages alone.  A shard below 0 asks nobody else.
+        """
+        schema, answer = reply(level)
+        if level == self.levels - 1:
+            return asked.groupBy("shard").applyInArrow(lambda t: answer(t, None), schema)
+        asked = scratch.write(asked, "asked")
+        more = asked.filter("shard >= 0").groupBy("shard").applyInArrow(merge(level + 1), asked.schema)
+        replies = self.ask(more, merge, reply, scratch, level + 1)
+        return asked.groupBy("shard").cogroup(replies.groupBy("chunk")).applyInArrow(answer, schema)
+
+
 def squeeze(a: np.ndarray) -> bytes:
     """Whole numbers, small ones cheap."""
     wide = bool(len(a)) and int(a.max()) >= 1 << 32

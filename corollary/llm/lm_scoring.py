@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, bucket_of, chunk_count, mix, table
-from .exchange import BASE, Tokens, U, chunked, raw, shard_bounds, squeeze, unsqueeze
+from .exchange import BASE, Hops, Tokens, U, chunked, raw, squeeze, unsqueeze
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
 #: Keys of the end token and of the beginning; words hold no space.
@@ -69,56 +69,79 @@ class Grams:
 
     def answers(self, rows: pa.Table) -> tuple[np.ndarray, ...]:
         """Counts over the corpus: unigrams, deleted unigrams, bigrams, deleted bigrams."""
-        r = rows.sort_by([("kind", "ascending"), ("shard", "ascending")]).to_pydict()
-        out = []
-        for kind in (UNIGRAM, BIGRAM):
-            for name in ("counts", "deleted"):
-                parts = [unsqueeze(b) for k, b in zip(r["kind"], r[name], strict=True) if k == kind]
-                out.append(np.concatenate([*parts, np.empty(0, np.int64)]))
+        out = [c for kind in (UNIGRAM, BIGRAM) for c in replied(rows, kind)]
         assert len(out[0]) == len(self.unigrams) and len(out[2]) == len(self.bigrams), "a chunk's answers are not complete"
         return tuple(out)
 
 
-def asker(shards: int):
+def replied(rows: pa.Table, kind: int) -> list[np.ndarray]:
+    """Counts and deleted counts of a sender's keys of one kind, in the order of the keys."""
+    r = rows.filter(pc.equal(rows.column("kind"), kind)).sort_by("shard").to_pydict()
+    return [np.concatenate([*(unsqueeze(b) for b in r[name]), np.empty(0, np.int64)]) for name in ("counts", "deleted")]
+
+
+def messages(sender: int, known: list[tuple[int, np.ndarray, list[np.ndarray]]], hops: Hops, level: int) -> pa.Table:
+    """What a sender asks about its sorted keys, with its counts, by kind."""
+    rows = {n: [] for n in ASK.names}
+    for kind, keys, counts in known:
+        for s, part in hops.deal(sender, keys, level):
+            for n, v in zip(ASK.names, (sender, s, kind, keys[part].astype("<u8").tobytes(), *(squeeze(c[part]) for c in counts)), strict=True):
+                rows[n].append(v)
+    return table(rows, ASK)
+
+
+def asker(hops: Hops):
     def ask(docs: pa.Table) -> pa.Table:
         g = Grams(docs)
-        rows = {n: [] for n in ASK.names}
-        chunk = docs.column("chunk")[0].as_py()
-        for kind, keys in ((UNIGRAM, g.unigrams), (BIGRAM, g.bigrams)):
-            at = shard_bounds(keys, shards)
-            for s in np.flatnonzero(np.diff(at)).tolist():
-                part = slice(at[s], at[s + 1])
-                for n, v in zip(ASK.names, (chunk, s, kind, keys[part].astype("<u8").tobytes(), *(squeeze(c[part]) for c in g.counts[kind])), strict=True):
-                    rows[n].append(v)
-        return table(rows, ASK)
+        return messages(docs.column("chunk")[0].as_py(), [(UNIGRAM, g.unigrams, g.counts[UNIGRAM]), (BIGRAM, g.bigrams, g.counts[BIGRAM])], hops, 0)
 
     return ask
 
 
-def answer(asked: pa.Table) -> pa.Table:
+class Merged:
+    """Messages of one kind to a shard: distinct keys, summed counts, and where each sender's keys are among them."""
+
+    def __init__(self, asked: pa.Table, kind: int):
+        some = asked.filter(pc.equal(asked.column("kind"), kind)).to_pydict()
+        self.senders = some["chunk"]
+        keys = [raw(b) for b in some["keys"]]
+        self.distinct, at = np.unique(np.concatenate([*keys, np.empty(0, U)]), return_inverse=True)
+        self.at = np.split(at, np.cumsum([len(k) for k in keys])[:-1]) if keys else []
+        self.sums = []
+        for name in ("counts", "deleted"):
+            c = np.concatenate([*(unsqueeze(b) for b in some[name]), np.empty(0, np.int64)])
+            self.sums.append(np.bincount(at, weights=c, minlength=len(self.distinct)).astype(np.int64))
+
+
+def merger(hops: Hops, level: int):
+    def merge(asked: pa.Table) -> pa.Table:
+        kinds = [(kind, Merged(asked, kind)) for kind in (UNIGRAM, BIGRAM)]
+        return messages(asked.column("shard")[0].as_py(), [(kind, m.distinct, m.sums) for kind, m in kinds], hops, level)
+
+    return merge
+
+
+def answer(asked: pa.Table, replies: pa.Table | None) -> pa.Table:
+    """Counts for each sender, from the next level's replies or, where all senders have asked, from the sums; totals come from the latter alone and are handed on."""
+    if not asked.num_rows:
+        return replies
     rows = {n: [] for n in ANSWER.names}
     totals = [0, 0, 0, 0]
     shard = asked.column("shard")[0].as_py()
     for kind in (UNIGRAM, BIGRAM):
-        some = asked.filter(pc.equal(asked.column("kind"), kind)).to_pydict()
-        if not some["chunk"]:
-            continue
-        keys = [raw(b) for b in some["keys"]]
-        ends = np.cumsum([len(k) for k in keys])
-        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = []
-        for name in ("counts", "deleted"):
-            c = np.concatenate([unsqueeze(b) for b in some[name]])
-            sums.append(np.bincount(at, weights=c, minlength=len(distinct)).astype(np.int64))
-        if kind == UNIGRAM:
-            words = distinct != BEGIN
+        m = Merged(asked, kind)
+        sums = m.sums if replies is None else replied(replies, kind)
+        assert len(sums[0]) == len(m.distinct), "a shard's replies are not complete"
+        if kind == UNIGRAM and replies is None:
+            words = m.distinct != BEGIN
             rest = sums[0] - sums[1]
             totals = [int(sums[0][words].sum()), int((sums[0][words] > 0).sum()), int(rest[words].sum()), int((rest[words] > 0).sum())]
-        for chunk, own in zip(some["chunk"], np.split(at, ends[:-1]), strict=True):
+        for chunk, own in zip(m.senders, m.at, strict=True):
             for n, v in zip(ANSWER.names, (chunk, shard, kind, squeeze(sums[0][own]), squeeze(sums[1][own]), None, None, None, None), strict=True):
                 rows[n].append(v)
-    for n, v in zip(ANSWER.names, (-1, shard, TOTALS, None, None, *totals), strict=True):
-        rows[n].append(v)
+    if replies is None:
+        for n, v in zip(ANSWER.names, (-1 - shard, shard, TOTALS, None, None, *totals), strict=True):
+            rows[n].append(v)
     return table(rows, ANSWER)
 
 
@@ -182,13 +205,17 @@ def scorer(n: int, v: int, weights: dict[int, np.ndarray]):
     return score
 
 
+def asked_by_chunk(chunks: DataFrame, hops: Hops) -> DataFrame:
+    return chunks.groupBy("chunk").applyInArrow(asker(hops), ASK_SQL)
+
+
 def score(docs: DataFrame) -> DataFrame:
     """Scores every document (doc_id, text) under the model that all but the held-out fold teach."""
     scratch = Scratch(docs.sparkSession, "lm-scoring")
     n = chunk_count(docs)
     chunks = chunked(docs, n)
-    asked = chunks.groupBy("chunk").applyInArrow(asker(n), ASK_SQL)
-    answers = scratch.write(asked.groupBy("shard").applyInArrow(answer, ANSWER_SQL), "answers")
+    hops = Hops(n)
+    answers = scratch.write(hops.ask(asked_by_chunk(chunks, hops), lambda level: merger(hops, level), lambda level: (ANSWER_SQL, answer), scratch), "answers")
     totals = answers.filter(F.col("kind") == TOTALS).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n_rest", "v_rest"))).first()
     replies = answers.filter(F.col("kind") != TOTALS).select("chunk", "shard", "kind", "counts", "deleted")
     both = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk"))

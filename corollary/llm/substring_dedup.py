@@ -22,19 +22,20 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, chunk_column, chunk_count, free_name, table, word_hashes
-from .exchange import BASE, BASE2, Tokens, U, chunked, raw, shard_bounds, window_hashes
+from .exchange import BASE, BASE2, Hops, Tokens, U, chunked, raw, window_hashes
 
 WINDOW = 20
 NULL_ID = -(1 << 63)
-ASK = pa.schema([("chunk", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary())])
+ASK = pa.schema([("chunk", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("shared", pa.binary())])
 SHARED = pa.schema([("chunk", pa.int32()), ("shard", pa.int32()), ("shared", pa.binary())])
 PLACES = pa.schema([("chunk", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("keys2", pa.binary()), ("doc", pa.binary()), ("start", pa.binary())])
 #: Windows with an earlier place: document, start, hash, and the reference's document and start.
 FOUND = pa.schema([("chunk", pa.int32()), ("doc", pa.binary()), ("start", pa.binary()), ("key", pa.binary()), ("ref_doc", pa.binary()), ("ref_start", pa.binary())])
+#: First places of a sender's keys, in their order.
+FIRSTS = pa.schema([("chunk", pa.int32()), ("shard", pa.int32()), ("ref_doc", pa.binary()), ("ref_start", pa.binary())])
 SPANS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("n_factors", pa.int64())])
 
 
@@ -50,22 +51,58 @@ class Windows:
         self.ids = np.array([NULL_ID if d is None else d for d in self.tokens.doc_ids], np.int64)
 
 
-def asker(n: int, shards: int):
+def bits(b: bytes | None, size: int) -> np.ndarray:
+    return np.zeros(size, bool) if b is None else np.unpackbits(np.frombuffer(b, np.uint8), count=size).astype(bool)
+
+
+def asker(n: int, hops: Hops):
     def ask(docs: pa.Table) -> pa.Table:
         keys, chunk = Windows(docs, n).distinct, docs.column("chunk")[0].as_py()
-        at = shard_bounds(keys, shards)
-        some = np.flatnonzero(np.diff(at)).tolist()
-        return table({"chunk": [chunk] * len(some), "shard": some, "keys": [keys[at[s] : at[s + 1]].astype("<u8").tobytes() for s in some]}, ASK)
+        parts = hops.deal(chunk, keys)
+        return table({"chunk": [chunk] * len(parts), "shard": [s for s, _ in parts], "keys": [keys[p].astype("<u8").tobytes() for _, p in parts], "shared": [None] * len(parts)}, ASK)
 
     return ask
 
 
-def tell_shared(asked: pa.Table) -> pa.Table:
-    """One bit for each key asked about: whether another chunk has it."""
+def shared_keys(asked: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of messages to a shard: distinct keys, whether several chunks are known to have them, where each entry's key is among them, and the messages' ends."""
     keys = [raw(b.as_py()) for b in asked.column("keys")]
-    _, at, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-    bits = np.split(times[at] > 1, np.cumsum([len(k) for k in keys])[:-1])
-    return table({"chunk": asked.column("chunk").to_pylist(), "shard": asked.column("shard").to_pylist(), "shared": [np.packbits(b).tobytes() for b in bits]}, SHARED)
+    distinct, at, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    known = np.concatenate([bits(b.as_py(), len(k)) for b, k in zip(asked.column("shared"), keys, strict=True)])
+    shared = times > 1
+    shared[at[known]] = True
+    return distinct, shared, at, np.cumsum([len(k) for k in keys])
+
+
+def shared_merger(hops: Hops, level: int):
+    def merge(asked: pa.Table) -> pa.Table:
+        keys, shared, _, _ = shared_keys(asked)
+        sender = asked.column("shard")[0].as_py()
+        parts = hops.deal(sender, keys, level)
+        return table({"chunk": [sender] * len(parts), "shard": [s for s, _ in parts], "keys": [keys[p].astype("<u8").tobytes() for _, p in parts], "shared": [np.packbits(shared[p]).tobytes() for _, p in parts]}, ASK)
+
+    return merge
+
+
+def replied_bits(replies: pa.Table, keys: np.ndarray, sender: int, hops: Hops, level: int) -> np.ndarray:
+    """Of each of a sender's keys, whether another chunk has it."""
+    out, parts = np.zeros(len(keys), bool), dict(hops.deal(sender, keys, level))
+    for s, b in zip(replies.column("shard").to_pylist(), replies.column("shared").to_pylist(), strict=True):
+        out[parts[s]] = bits(b, parts[s].stop - parts[s].start)
+    return out
+
+
+def shared_teller(hops: Hops, level: int):
+    """One bit for each key asked about: whether another chunk has it."""
+
+    def tell(asked: pa.Table, replies: pa.Table | None) -> pa.Table:
+        keys, shared, at, ends = shared_keys(asked)
+        if replies is not None:
+            shared = replied_bits(replies, keys, asked.column("shard")[0].as_py(), hops, level + 1)
+        parts = np.split(shared[at], ends[:-1])
+        return table({"chunk": asked.column("chunk").to_pylist(), "shard": asked.column("shard").to_pylist(), "shared": [np.packbits(b).tobytes() for b in parts]}, SHARED)
+
+    return tell
 
 
 def first_of(order_by: tuple, same: tuple) -> tuple[np.ndarray, np.ndarray]:
@@ -78,8 +115,8 @@ def first_of(order_by: tuple, same: tuple) -> tuple[np.ndarray, np.ndarray]:
     return order, np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
 
 
-def places(n: int, shards: int):
-    """Second round: sends the places of shared windows, once for each distinct window, to the shards (shard >= 0); repeats inside the chunk are found at once (shard -1)."""
+def places(n: int, hops: Hops):
+    """Second round: sends the places of shared windows, once for each distinct window, to the shards (shard >= 0); repeats inside the chunk are found at once (a shard below 0 for each chunk)."""
 
     def tell(docs: pa.Table, shared: pa.Table) -> pa.Table:
         rows = {c: [] for c in PLACES.names}
@@ -90,10 +127,7 @@ def places(n: int, shards: int):
 
         if docs.num_rows:
             chunk, w = docs.column("chunk")[0].as_py(), Windows(docs, n)
-            at = shard_bounds(w.distinct, shards)
-            elsewhere = np.zeros(len(w.distinct), bool)
-            for s, b in zip(shared.column("shard").to_pylist(), shared.column("shared").to_pylist(), strict=True):
-                elsewhere[at[s] : at[s + 1]] = np.unpackbits(np.frombuffer(b, np.uint8), count=at[s + 1] - at[s])
+            elsewhere = replied_bits(shared, w.distinct, chunk, hops, 0)
             some = np.flatnonzero(elsewhere[w.at] | (w.times[w.at] > 1))
             if len(some):
                 key, doc, start, away = w.key[some], w.ids[w.doc[some]], w.start[some], elsewhere[w.at[some]]
@@ -102,38 +136,74 @@ def places(n: int, shards: int):
                 key, key2, doc, start, away = (x[order] for x in (key, key2, doc, start, away))
                 later = (doc != doc[began]) | (start != start[began])
                 if later.any():
-                    add(chunk, -1, key[later].astype("<u8").tobytes(), None, np.c_[doc, doc[began]][later].astype("<i8").tobytes(), np.c_[start, start[began]][later].astype("<i4").tobytes())
+                    add(chunk, -1 - chunk, key[later].astype("<u8").tobytes(), None, np.c_[doc, doc[began]][later].astype("<i8").tobytes(), np.c_[start, start[began]][later].astype("<i4").tobytes())
                 first = (began == np.arange(len(began))) & away
                 key, key2, doc, start = (x[first] for x in (key, key2, doc, start))
-                at = shard_bounds(key, shards)
-                for s in np.flatnonzero(np.diff(at)).tolist():
-                    p = slice(at[s], at[s + 1])
+                for s, p in hops.deal(chunk, key):
                     add(chunk, s, key[p].astype("<u8").tobytes(), key2[p].astype("<u8").tobytes(), doc[p].astype("<i8").tobytes(), start[p].astype("<i4").tobytes())
         return table(rows, PLACES)
 
     return tell
 
 
-def find_first(told: pa.Table) -> pa.Table:
+class Places:
+    """Messages of places to a shard, in order of window and place, with the first place of every window: the next level's replies, or the first of those told."""
+
+    def __init__(self, told: dict, replies: pa.Table | None):
+        key, key2 = (np.concatenate([raw(b) for b in told[c]]) for c in ("keys", "keys2"))
+        doc, start = np.concatenate([raw(b, "<i8") for b in told["doc"]]), np.concatenate([raw(b, "<i4") for b in told["start"]])
+        self.sizes = [len(b) // 8 for b in told["keys"]]
+        self.order, began = first_of((start, doc, key2, key), (key, key2))
+        self.key, self.key2, self.doc, self.start = (x[self.order] for x in (key, key2, doc, start))
+        self.first = began == np.arange(len(began))
+        self.ref_doc, self.ref_start = self.doc[began], self.start[began]
+        if replies is not None:
+            r = replies.sort_by("shard").to_pydict()
+            ref_doc, ref_start = np.concatenate([raw(b, "<i8") for b in r["ref_doc"]]), np.concatenate([raw(b, "<i4") for b in r["ref_start"]])
+            assert len(ref_doc) == self.first.sum(), "a shard's replies are not complete"
+            window = np.cumsum(self.first) - 1
+            self.ref_doc, self.ref_start = ref_doc[window], ref_start[window]
+
+
+def place_merger(hops: Hops, level: int):
+    def merge(told: pa.Table) -> pa.Table:
+        p, sender, rows = Places(told.to_pydict(), None), told.column("shard")[0].as_py(), {c: [] for c in PLACES.names}
+        key, key2, doc, start = (x[p.first] for x in (p.key, p.key2, p.doc, p.start))
+        for s, part in hops.deal(sender, key, level):
+            for c, v in zip(PLACES.names, (sender, s, *(x[part].tobytes() for x in (key, key2, doc, start))), strict=True):
+                rows[c].append(v)
+        return table(rows, PLACES)
+
+    return merge
+
+
+def tell_first(told: pa.Table, replies: pa.Table | None) -> pa.Table:
+    """For each sender the first places of its windows, in the order in which it asked."""
+    r = told.to_pydict()
+    p = Places(r, replies)
+    ref_doc, ref_start = np.empty_like(p.ref_doc), np.empty_like(p.ref_start)
+    ref_doc[p.order], ref_start[p.order] = p.ref_doc, p.ref_start
+    ends = np.cumsum(p.sizes)[:-1]
+    return table({"chunk": r["chunk"], "shard": r["shard"], "ref_doc": [x.tobytes() for x in np.split(ref_doc, ends)], "ref_start": [x.tobytes() for x in np.split(ref_start, ends)]}, FIRSTS)
+
+
+def find_first(told: pa.Table, replies: pa.Table | None) -> pa.Table:
     """For each chunk the windows that start earlier elsewhere, with the first place."""
     r = told.to_pydict()
     if r["shard"][0] < 0:
         pairs = [(np.frombuffer(d, "<i8").reshape(-1, 2), np.frombuffer(s, "<i4").reshape(-1, 2)) for d, s in zip(r["doc"], r["start"], strict=True)]
         return table({"chunk": r["chunk"], "doc": [d[:, 0].tobytes() for d, _ in pairs], "start": [s[:, 0].tobytes() for _, s in pairs], "key": r["keys"], "ref_doc": [d[:, 1].tobytes() for d, _ in pairs], "ref_start": [s[:, 1].tobytes() for _, s in pairs]}, FOUND)
-    key, key2 = (np.concatenate([raw(b) for b in r[c]]) for c in ("keys", "keys2"))
-    doc, start = np.concatenate([raw(b, "<i8") for b in r["doc"]]), np.concatenate([raw(b, "<i4") for b in r["start"]])
-    source = np.repeat(np.arange(len(r["chunk"])), [len(b) // 8 for b in r["keys"]])
-    order, began = first_of((start, doc, key2, key), (key, key2))
-    doc, start, key, source = doc[order], start[order], key[order], source[order]
-    later = (doc != doc[began]) | (start != start[began])
+    p = Places(r, replies)
+    source = np.repeat(np.arange(len(r["chunk"])), p.sizes)[p.order]
+    later = (p.doc != p.ref_doc) | (p.start != p.ref_start)
     rows = {c: [] for c in FOUND.names}
     by_source = np.argsort(source[later], kind="stable")
-    parts = [x[later][by_source] for x in (source, doc, start, key, doc[began], start[began])]
+    parts = [x[later][by_source] for x in (source, p.doc, p.start, p.key, p.ref_doc, p.ref_start)]
     edges = np.searchsorted(parts[0], np.arange(len(r["chunk"]) + 1))
     for k, chunk in enumerate(r["chunk"]):
         lo, hi = edges[k], edges[k + 1]
         if lo < hi:
-            for c, v in zip(FOUND.names, (chunk, *(p[lo:hi].tobytes() for p in parts[1:])), strict=True):
+            for c, v in zip(FOUND.names, (chunk, *(x[lo:hi].tobytes() for x in parts[1:])), strict=True):
                 rows[c].append(v)
     return table(rows, FOUND)
 
@@ -213,16 +283,20 @@ def cover(words: list[bytes], spans: tuple[np.ndarray, ...] | None, n: int) -> t
 
 def found_windows(docs: DataFrame, window: int, chunks: int, scratch: Scratch) -> DataFrame:
     """By chunk, the windows that also start earlier."""
-    parts = chunked(docs, chunks)
-    shared = scratch.write(parts.groupBy("chunk").applyInArrow(asker(window, chunks), sql(ASK)).groupBy("shard").applyInArrow(tell_shared, sql(SHARED)), "shared")
-    told = parts.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(places(window, chunks), sql(PLACES))
+    parts, hops = chunked(docs, chunks), Hops(chunks)
+    asked = asked_by_chunk(parts, window, hops)
+    shared = scratch.write(hops.ask(asked, lambda level: shared_merger(hops, level), lambda level: (sql(SHARED), shared_teller(hops, level)), scratch), "shared")
+    told = parts.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(places(window, hops), sql(PLACES))
     # What a chunk found by itself goes on in groups of their own, one for each chunk.
-    group = F.when(F.col("shard") < 0, -1 - F.col("chunk")).otherwise(F.col("shard"))
-    found = scratch.write(told.withColumn("group", group).groupBy("group").applyInArrow(lambda t: find_first(t.drop_columns(["group"])), sql(FOUND)), "found")
+    found = scratch.write(hops.ask(told, lambda level: place_merger(hops, level), lambda level: (sql(FIRSTS), tell_first) if level else (sql(FOUND), find_first), scratch), "found")
     scratch.drop(shared)
     return found
 
 
+def asked_by_chunk(parts: DataFrame, window: int, hops: Hops) -> DataFrame:
+    return parts.groupBy("chunk").applyInArrow(asker(window, hops), sql(ASK))
+
+
 def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, n_factors) of every document."""
     scratch, chunks = Scratch(docs.sparkSession, "substring-dedup"), chunk_count(docs)

@@ -1,11 +1,13 @@
 """The parts of the exchange that have exact round trips."""
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from corollary.llm import exchange, lm_scoring, substring_dedup
 from corollary.llm.common import word_hashes
-from corollary.llm.exchange import BASE, BASE2, U, shard_bounds, squeeze, unsqueeze, window_hashes
+from corollary.llm.exchange import BASE, BASE2, FAN, Hops, U, chunked, shard_bounds, squeeze, unsqueeze, window_hashes
 
 NUMBERS = st.lists(st.integers(0, 2**64 - 1), max_size=200)
 
@@ -32,3 +34,36 @@ def test_windows_are_equal_when_their_words_are(words, n):
         for k, x in enumerate(got):
             assert seen.setdefault(tuple(words[k : k + n]), x) == x
         assert len(set(got)) == len(seen) and len(got) == max(0, len(words) - n + 1)
+
+
+@settings(deadline=None, max_examples=50)
+@given(st.integers(1, 400), st.integers(2, 9), NUMBERS)
+def test_hops_bring_a_key_of_all_chunks_to_one_shard(chunks, fan, numbers):
+    hops = Hops(chunks, fan)
+    assert hops.radix <= fan and hops.radix**hops.levels >= chunks
+    keys = np.array(sorted(numbers), U)
+    senders = {c: keys for c in range(chunks)}
+    for level in range(hops.levels):
+        heard = {}
+        for c, own in senders.items():
+            parts = hops.deal(c, own, level)
+            assert len(parts) <= hops.radix and np.array_equal(np.concatenate([own[:0], *(own[p] for _, p in parts)]), own)
+            for s, p in parts:
+                heard.setdefault(s, []).append(own[p])
+        assert all(len(x) <= hops.radix for x in heard.values())
+        senders = {s: np.unique(np.concatenate(x)) for s, x in heard.items()}
+    assert sorted(k for x in senders.values() for k in x.tolist()) == sorted(set(numbers))
+
+
+def test_most_messages_of_a_sender_do_not_grow_with_the_corpus():
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**64 - 1, 5000, U, True))
+    for chunks in (FAN, 4 * FAN, 16 * FAN, 50_000 * FAN):
+        hops = Hops(chunks)
+        assert all(len(hops.deal(c, keys)) <= FAN for c in (0, chunks // 2, chunks - 1)) and FAN ** (hops.levels - 1) < chunks
+
+
+@pytest.mark.parametrize("asked", [lambda c, h: lm_scoring.asked_by_chunk(c, h), lambda c, h: substring_dedup.asked_by_chunk(c, 20, h)])
+def test_messages_grow_with_chunks_not_their_square(docs, asked, monkeypatch):
+    monkeypatch.setattr(exchange, "FAN", 4)
+    rows = {n: asked(chunked(docs, n), Hops(n)).count() for n in (4, 16)}
+    assert rows[16] <= 5 * rows[4] and rows[16] <= 2 * 4 * 16

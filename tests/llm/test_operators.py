@@ -13,7 +13,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from corollary.llm import embedding_dedup, language_id, line_dedup, lm_scoring, minhash_dedup, packing, quality, sentencepiece_bpe, substring_dedup, toxicity
+from corollary.llm import embedding_dedup, exchange, language_id, line_dedup, lm_scoring, minhash_dedup, packing, quality, sentencepiece_bpe, substring_dedup, toxicity
 from corollary.llm.common import Scratch
 from corollary.llm.common import components as spark_components
 
@@ -215,9 +215,10 @@ def removed_brute(texts, n):
     return out
 
 
-@pytest.mark.parametrize("chunks", [1, 9])
-def test_substring_dedup(docs, empty, texts, chunks, monkeypatch):
+@pytest.mark.parametrize("chunks, fan", [(1, 256), (9, 256), (9, 3), (7, 2)])
+def test_substring_dedup(docs, empty, texts, chunks, fan, monkeypatch):
     monkeypatch.setattr(substring_dedup, "chunk_count", lambda d: chunks)
+    monkeypatch.setattr(exchange, "FAN", fan)
     want = removed_brute(texts, 20)
     got = {r["doc_id"]: r for r in substring_dedup.digests(docs).collect()}
     assert {d: (r["n_words"], r["n_removed"], r["kept_sha256"]) for d, r in got.items()} == {d: (len(words(t)), len(words(t)) - len(want[d]), hashlib.sha256(b" ".join(want[d])).hexdigest()) for d, t in texts.items()}
@@ -400,8 +401,11 @@ def test_language_id_against_brute_force(spark):
         assert got[k]["lang_pred"] == best and got[k]["score"] == pytest.approx(0.5 * (1 - away[best] / (language_id.LENGTH * len(own))) + 0.5 * (near - away[best]) / max(1, near)), k
 
 
-def test_lm_score_against_brute_force(docs, texts):
-    """The interpolated probability of every text from counts of the whole training part and the weights that EM finds."""
+@pytest.mark.parametrize("chunks, fan", [(1, 256), (9, 256), (9, 3), (7, 2)])
+def test_lm_score_against_brute_force(docs, texts, chunks, fan, monkeypatch):
+    """The interpolated probability of every text from counts of the whole training part and the weights that EM finds, by one level of messages and by several."""
+    monkeypatch.setattr(lm_scoring, "chunk_count", lambda d: chunks)
+    monkeypatch.setattr(exchange, "FAN", fan)
     tokens = {d: [w.lower() for w in words(t)] + [None] for d, t in texts.items()}
 
     def counted(ids):

@@ -11,16 +11,17 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from corollary.llm import embedding_dedup, language_id, line_dedup, lm_scoring, minhash_dedup, packing, quality, sentencepiece_bpe, substring_dedup, toxicity
+from corollary.llm import embedding_dedup, exchange, language_id, line_dedup, lm_scoring, minhash_dedup, packing, quality, sentencepiece_bpe, substring_dedup, toxicity
 
 
 def numbered(name, n):
     return [f"{name}{k}" for k in range(n)]
 
 
-@pytest.mark.parametrize("chunks", [1, 5])
-def test_substring_dedup_by_row(spark, empty, chunks, monkeypatch):
+@pytest.mark.parametrize("chunks, fan", [(1, 256), (5, 256), (5, 2)])
+def test_substring_dedup_by_row(spark, empty, chunks, fan, monkeypatch):
     monkeypatch.setattr(substring_dedup, "chunk_count", lambda d: chunks)
+    monkeypatch.setattr(exchange, "FAN", fan)
     p, q = numbered("p", 25), numbered("q", 25)
     rows = [
         (None, p + numbered("a", 30) + p), (None, numbered("b", 90)), (None, numbered("c", 10)),
