@@ -10,7 +10,8 @@ the full sets.
 A line goes if an earlier line of the input (smaller doc_id, or the same document and further up) is
 similar.  One earlier line is enough, so classes are first held against two that share a minimum over the rarer
 half of their words: the earliest and the most copied.  That settles most members of a group of near copies with
-a few comparisons each.  Only classes that find none there meet all earlier classes of their prefix, in passes
+a few comparisons each.  Classes left that share a prefix word with many others are then held against a few of the earliest
+that have it.  Only classes that find none there meet all earlier classes of their prefix, in passes
 over ranges of words that bound the disk in use.
 
 No side of a join here has a bound, so none is broadcast.  Between steps travel hashes, counts and places; of texts only those documents are read again whose lines are to
@@ -39,6 +40,8 @@ PLACE = ["doc", "pos", "c"]  # of a class: its first place, and the hash of its
 SKETCH = ["sketch0", "sketch1"]  # of a class's rarest words, 64 bits each, for half of them
 MARKS = 18  # bits of the hash that marks words that some class still asks for
 FIRST = -(1 << 63)
+CROWD = 32  # classes of a prefix word, beyond which they first meet the word's earliest
+EARLIEST = 4  # of those, one in each share of the classes by hash
 BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -177,11 +180,24 @@ def prefix_pairs(asking: DataFrame, others: DataFrame) -> DataFrame:
     return both.filter(sketches_allow("x", "y"))
 
 
-def asked_for(asking: DataFrame) -> Column:
-    """Whether some class asks for a word, from a table of marks of fixed size; other words may pass too."""
+def crowd_pairs(still: DataFrame, scratch: Scratch) -> DataFrame:
+    """Open classes y with the earliest x, one in each share of the classes, of each crowded word of their prefix."""
+    own = [*PLACE, "n", *SKETCH]
+    rows = still.select("open", *own, F.explode("prefix").alias("word"))
+    share = F.pmod("c", F.lit(EARLIEST)).alias("share")
+    firsts = rows.groupBy("word", share).agg(F.count("*").alias("times"), F.min(F.struct(*own)).alias("x"))
+    crowds = firsts.groupBy("word").agg(F.sum("times").alias("times"), F.collect_list("x").alias("x")).filter(F.col("times") > CROWD)
+    crowds = scratch.write(crowds.select("word", F.explode("x").alias("x")).select("word", "x.*"), "crowds")
+    asking = rows.filter("open").drop("open").filter(marked(crowds.select("word")))
+    both = asking.alias("y").join(crowds.alias("x").hint("merge"), F.col("x.word") == F.col("y.word"))
+    return both_places(both.filter(earlier("x", "y") & sizes_allow("x", "y")).filter(sketches_allow("x", "y")))
+
+
+def marked(words: DataFrame) -> Column:
+    """Whether a word is one of these, from a table of marks of fixed size; other words may pass too."""
     mark = F.shiftrightunsigned(F.xxhash64("word"), 64 - MARKS)
     place, bit = F.shiftright(mark, 6).cast("int"), mark.bitwiseAND(F.lit(63)).cast("int")
-    rows = asking.select(F.explode("prefix").alias("word")).groupBy(place.alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    rows = words.groupBy(place.alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
     marks = [0] * (1 << MARKS - 6)
     for r in rows.collect():  # one row for 64 marks
         marks[r["at"]] = r["bits"]
@@ -234,6 +250,11 @@ def first_classes(docs: DataFrame, levels: list[int], scratch: Scratch) -> DataF
     still = ranks.drop("keys", "copies").join(later.withColumn("later", F.lit(True)).hint("merge"), PLACE, "left")
     still = scratch.write(still.withColumn("open", F.col("later").isNull()).drop("later"), "ranks")
     scratch.drop(ranks, near, later)
+    near = scratch.write(crowd_pairs(still, scratch), "pairs")
+    later = verified(near, docs, levels, scratch)
+    before, still = still, still.join(later.withColumn("later", F.lit(True)).hint("merge"), PLACE, "left")
+    still = scratch.write(still.withColumn("open", F.col("open") & F.col("later").isNull()).drop("later"), "ranks")
+    scratch.drop(before, near, later)
     open_ = still.filter("open")
     close = scratch.write(closest(in_passes(scratch, lambda k: closest(prefix_pairs(prefix_rows(open_, k), prefix_rows(still, k))))), "closest")
     some = close.select(*[f"y_{c}" for c in PLACE], F.explode(F.array("best.x", "low", "high")).alias("x"))
@@ -241,7 +262,7 @@ def first_classes(docs: DataFrame, levels: list[int], scratch: Scratch) -> DataF
     # Those that had more than one and are similar to none of these meet all.
     more = close.filter("low <> high").select(*[F.col(f"y_{c}").alias(c) for c in PLACE]).join(later.hint("merge"), PLACE, "left_anti")
     asking = scratch.write(open_.join(more.hint("merge"), PLACE, "left_semi"), "asking")
-    wanted = asked_for(asking)
+    wanted = marked(asking.select(F.explode("prefix").alias("word")))
     pairs = in_passes(scratch, lambda k: both_places(prefix_pairs(prefix_rows(asking, k), prefix_rows(still, k).filter(wanted))))
     last = verified(scratch.write(both_places(pairs), "pairs"), docs, levels, scratch)
     return open_.select(*PLACE).join(later.unionByName(last).hint("merge"), PLACE, "left_anti")

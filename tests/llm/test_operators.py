@@ -145,7 +145,9 @@ def test_sentencepiece_on_random_text():
         assert np.frombuffer(e.encode(t), "<u4").tolist() == e.library.encode(t, add_bos=True, add_eos=True), repr(t)
 
 
-def test_line_dedup(docs, empty, texts):
+@pytest.mark.parametrize("crowd", [1, line_dedup.CROWD])
+def test_line_dedup(docs, empty, texts, crowd, monkeypatch):
+    monkeypatch.setattr(line_dedup, "CROWD", crowd)
     sets, inverted, want = [], defaultdict(list), {}
     for d in sorted(texts):
         kept, n, gone = [], 0, 0
