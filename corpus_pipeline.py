@@ -19,27 +19,34 @@ def counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def start(spark: SparkSession) -> None:
+    """Ships the package and lets the driver forget finished stages: Spark cleans shuffles and broadcasts whose plans are gone, and its heap shrinks."""
     ship(spark)
+    spark.sparkContext._jvm.System.gc()
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    start(spark)
     return toxicity.keep_clean(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    start(spark)
     return counted(line_dedup.remove(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    start(spark)
     return minhash_dedup.keep_first(docs)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    start(spark)
     return counted(substring_dedup.remove(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    start(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
