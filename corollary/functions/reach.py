@@ -11,6 +11,9 @@ from ..plans.ir import ArgType
 from ..plans.vocabulary import Builtin
 
 
+LEVELS = 16  # of a walk that are read apart before they are written together
+
+
 def reach(relation: str, *, reflexive: bool = False, labels: tuple[str, str] = ("from", "to"), types: tuple[ArgType, ArgType] | None = None, doc: str = "") -> Builtin:
     """A generator of pairs joined by one or more steps of a base relation, from either bound end.
 
@@ -35,7 +38,7 @@ def reach(relation: str, *, reflexive: bool = False, labels: tuple[str, str] = (
         engine.ensure_checkpoints()
         level = found.checkpoint()
         seen = level if reflexive else level.limit(0)
-        goal = None
+        goal, rounds = None, 0
         if 0 in lanes and 1 in lanes:
             goal = inputs.select("a0", "a1").distinct()
         while True:
@@ -47,6 +50,9 @@ def reach(relation: str, *, reflexive: bool = False, labels: tuple[str, str] = (
             if level.isEmpty():
                 break
             seen = seen.unionByName(level)
+            rounds += 1
+            if rounds % LEVELS == 0:
+                seen = seen.checkpoint()
             if goal is not None and goal.join(seen, same(Cell(F.col("a0"), lanes[0]), Cell(F.col("end"), lane_near)) & same(Cell(F.col("a1"), lanes[1]), Cell(F.col("at"), lane_far)), "left_anti").isEmpty():
                 break
         ends = (F.col("at").alias("c0"), F.col("end").alias("c1")) if backward else (F.col("end").alias("c0"), F.col("at").alias("c1"))
