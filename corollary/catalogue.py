@@ -130,8 +130,9 @@ def neighbours() -> Builtin:
 
 
 def digits(args: list[Value]) -> bool:
-    """A host's test in Python: the digits of a whole number add up to an even number."""
-    return sum(map(int, args[0].s.lstrip("-"))) % 2 == 0
+    """A host's test in Python: the digits of a whole number add up to an even number; read from the number, whose text has an exponent from 1e6."""
+    x = args[0].num
+    return x is not None and x.is_integer() and sum(map(int, str(abs(int(x))))) % 2 == 0
 
 
 def engine(spark: SparkSession, sf_dir: str, **options) -> Engine:
