@@ -169,15 +169,21 @@ def hub_pairs(ranks: DataFrame) -> DataFrame:
 
 
 def prefix_rows(ranks: DataFrame, part: int) -> DataFrame:
-    """A row for each word of a class's prefix, for one range of words."""
-    return ranks.select(*PLACE, "n", *SKETCH, F.posexplode("prefix").alias("at", "word")).filter(F.pmod("word", F.lit(PASSES)) == part)
+    """A row for each word of a class's prefix, for one range of words, with the word before it in the prefix."""
+    rows = ranks.select(*PLACE, "n", *SKETCH, "open", "prefix", F.posexplode("prefix").alias("at", "word")).filter(F.pmod("word", F.lit(PASSES)) == part)
+    return rows.withColumn("before", F.get("prefix", F.col("at") - 1)).drop("prefix")
 
 
 def prefix_pairs(asking: DataFrame, others: DataFrame) -> DataFrame:
-    """Joined prefix rows of classes y that ask and earlier ones x that share a word of both prefixes; a pair once for each word."""
+    """Joined prefix rows of open classes y and earlier ones x that share a word of both prefixes; a pair once for each run of such words.
+
+    A pair whose words before are the same as well has met there, where no filter is stricter.  That y is open is tested on
+    both sides' columns, so that a table joined with itself is dealt out once.
+    """
     both = others.alias("x").join(asking.alias("y").hint("merge"), F.col("x.word") == F.col("y.word"))
     both = both.filter(earlier("x", "y") & sizes_allow("x", "y") & positions_allow("x", "y"))
-    return both.filter(sketches_allow("x", "y"))
+    both = both.filter(F.col("y.open") | (F.col("x.open") & (F.col("x.n") < 0)))
+    return both.filter(F.coalesce(F.col("x.before") != F.col("y.before"), F.lit(True)) & sketches_allow("x", "y"))
 
 
 def crowd_pairs(still: DataFrame, scratch: Scratch) -> DataFrame:
@@ -256,7 +262,7 @@ def first_classes(docs: DataFrame, levels: list[int], scratch: Scratch) -> DataF
     still = scratch.write(still.withColumn("open", F.col("open") & F.col("later").isNull()).drop("later"), "ranks")
     scratch.drop(before, near, later)
     open_ = still.filter("open")
-    close = scratch.write(closest(in_passes(scratch, lambda k: closest(prefix_pairs(prefix_rows(open_, k), prefix_rows(still, k))))), "closest")
+    close = scratch.write(closest(in_passes(scratch, lambda k: closest(prefix_pairs(prefix_rows(still, k), prefix_rows(still, k))))), "closest")
     some = close.select(*[f"y_{c}" for c in PLACE], F.explode(F.array("best.x", "low", "high")).alias("x"))
     later = verified(some.select(*[f"y_{c}" for c in PLACE], *[F.col(f"x.{c}").alias(f"x_{c}") for c in PLACE]).distinct(), docs, levels, scratch)
     # Those that had more than one and are similar to none of these meet all.
