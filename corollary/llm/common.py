@@ -86,6 +86,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def relieve(jvm) -> None:
+    """Collects the driver's JVM where its heap has grown beyond three fifths of what it may take, so that the garbage of many plans goes back to the system."""
+    heap = jvm.java.lang.Runtime.getRuntime()
+    if 5 * heap.totalMemory() > 3 * heap.maxMemory():
+        jvm.System.gc()
+
+
 class Scratch:
     """Tables written to the shared folder, so that later work starts from files and not from lost executors.
 
@@ -117,6 +124,7 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str, *, codec: str = "zstd") -> DataFrame:
         path = self.path(name)
+        relieve(self.spark.sparkContext._jvm)
         with self.cleaning():
             df.write.option("compression", codec).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
