@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import functools
 import math
 import shutil
 import tempfile
@@ -13,6 +14,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,6 +95,49 @@ def relieve(jvm) -> None:
         jvm.System.gc()
 
 
+@functools.lru_cache(maxsize=1)
+def invocation(gateway):
+    """The method of a JVM's management that invokes an operation."""
+    return next(m for m in gateway.jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+
+
+def managed(gateway, bean: str, operation: str, *words: str):
+    """What an operation of the driver JVM's own management gives, for words; py4j itself can't reach the classes behind it."""
+    jvm = gateway.jvm
+
+    def array(kind, values):
+        out = gateway.new_array(kind, len(values))
+        for k, v in enumerate(values):
+            out[k] = v
+        return out
+
+    text = jvm.java.lang.String
+    name = jvm.javax.management.ObjectName(f"com.sun.management:type={bean}")
+    args = [name, operation, array(jvm.java.lang.Object, words), array(text, ["java.lang.String"] * len(words))]
+    return invocation(gateway).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), array(jvm.java.lang.Object, args))
+
+
+@contextlib.contextmanager
+def returning(gateway):
+    """Collections inside leave at most two fifths of the driver's heap free, and then the C library's free memory goes back to the system too.
+
+    What plans and their compilation free otherwise stays with the process.  Nothing is done where the JVM can't.
+    """
+    before = {}
+    with contextlib.suppress(Py4JError):
+        for option, value in (("MinHeapFreeRatio", "20"), ("MaxHeapFreeRatio", "40")):
+            before[option] = managed(gateway, "HotSpotDiagnostic", "getVMOption", option).get("value")
+            managed(gateway, "HotSpotDiagnostic", "setVMOption", option, value)
+    try:
+        yield
+    finally:
+        for option, value in reversed(before.items()):
+            with contextlib.suppress(Py4JError):
+                managed(gateway, "HotSpotDiagnostic", "setVMOption", option, value)
+        with contextlib.suppress(Py4JError):
+            managed(gateway, "DiagnosticCommand", "systemTrimNativeHeap")
+
+
 class Scratch:
     """Tables written to the shared folder, so that later work starts from files and not from lost executors.
 
@@ -124,7 +169,8 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str, *, codec: str = "zstd") -> DataFrame:
         path = self.path(name)
-        relieve(self.spark.sparkContext._jvm)
+        with returning(self.spark.sparkContext._gateway):
+            relieve(self.spark.sparkContext._jvm)
         with self.cleaning():
             df.write.option("compression", codec).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
