@@ -8,14 +8,15 @@ may differ, read from sketches of the prefixes, which no similar pair can fail.
 the full sets.
 
 A line goes if an earlier line of the input (smaller doc_id, or the same document and further up) is
-similar.  One earlier line is enough, so classes are first held against two that share a minimum over the rarer
+similar.  One earlier line is enough, so classes are first held against two that share a minimum or a maximum of hashes over the rarer
 half of their words: the earliest and the most copied.  That settles most members of a group of near copies with
 a few comparisons each.  Classes left that share a prefix word with many others are then held against a few of the earliest
 that have it.  Only classes that find none there meet all earlier classes of their prefix, in passes
-over ranges of words that bound the disk in use.
+over ranges of words that bound the disk in use; rows of a word meet only in bands of sizes that may be similar, and one
+of the two has the word among the first ninth of its set.
 
-No side of a join here has a bound, so none is broadcast.  Between steps travel hashes, counts and places; of texts only those documents are read again whose lines are to
-be verified.
+No side of a join here has a bound, so none is broadcast.  Between steps travel hashes, counts and places; of texts only those lines travel that are to
+be verified, and the few others that have their mark.
 
 Defined results: words are compared in lower case; lines without words stay where they are and match
 nothing; a null text stays null; a document whose lines all go keeps an empty text; rows that share a
@@ -24,8 +25,8 @@ doc_id share places, so lines at the same place of both do not remove one anothe
 
 from __future__ import annotations
 
-import hashlib
 import json
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,9 +39,11 @@ BITS = 16  # of the hash that a rarity bucket has
 HASH = (1 << 56) - 1  # of a word's code; its rarity is above
 PLACE = ["doc", "pos", "c"]  # of a class: its first place, and the hash of its set
 SKETCH = ["sketch0", "sketch1"]  # of a class's rarest words, 64 bits each, for half of them
-MARKS = 18  # bits of the hash that marks words that some class still asks for
+MARKS = 22  # bits of the hash that marks words, keys or documents that a step still asks for
 FIRST = -(1 << 63)
+BAND = 1.5625  # ratio of the sizes of a band, beyond which rows of the join on prefix words do not meet
 CROWD = 32  # classes of a prefix word, beyond which they first meet the word's earliest
+LEADING = 4  # words of a prefix that are asked for that
 EARLIEST = 4  # of those, one in each share of the classes by hash
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -82,8 +85,8 @@ def rarity(docs: DataFrame) -> list[int]:
 
 def word_codes(line: str | Column, levels: list[int]) -> Column:
     """A line's distinct words as numbers, rarest first: rarity in the highest bits, a hash below."""
-    table = F.from_json(F.lit(json.dumps(levels, separators=(",", ":"))), "array<bigint>")
-    code = lambda h: F.shiftleft(F.get(table, bucket(h)), 56).bitwiseOR(h.bitwiseAND(F.lit(HASH)))
+    table = F.from_json(F.lit(json.dumps([n << 56 for n in levels], separators=(",", ":"))), "array<bigint>")
+    code = lambda h: F.coalesce(F.get(table, bucket(h)), F.lit(0)).bitwiseOR(h.bitwiseAND(F.lit(HASH)))  # noqa: E731  never null, so that numbers are sorted as such
     return F.sort_array(F.array_distinct(F.transform(F.transform(words_in(line), lambda w: F.xxhash64(w)), code)))
 
 
@@ -98,19 +101,13 @@ def sketch_length(n: str | Column) -> Column:
     return F.least(n, 2 * prefix_length(n) + 8)
 
 
-#: A constant that gives the words an order of its own.
-SHUFFLE = int.from_bytes(hashlib.blake2b(b"order", digest_size=7).digest(), "big")
-
-
 def ranked(docs: DataFrame, levels: list[int]) -> DataFrame:
     """Of each class: its place, the size of its set, how often it occurs, keys that near copies mostly share, and its prefix with a sketch of it."""
     c = spread(docs).select("doc", "pos", word_codes("line", levels).alias("words"))
     c = c.withColumn("n", F.size("words")).withColumn("prefix", F.slice("words", 1, prefix_length("n"))).withColumn("sketched", F.slice("words", 1, sketch_length("n")))
-    rarer = F.slice("words", 1, F.ceil(F.col("n") / 2).cast("int"))
-    for k, order in enumerate((0, SHUFFLE)):
-        c = c.withColumn(f"order{k}", F.transform(rarer, lambda h, v=order: h.bitwiseAND(F.lit(HASH)).bitwiseXOR(F.lit(v))))
-    ends = [f(f"order{k}") for k in (0, 1) for f in (F.array_min, F.array_max)]
-    keys = F.array(*[F.xxhash64(F.lit(k), x) for k, x in enumerate(ends)])
+    rarer = F.transform(F.slice("words", 1, F.ceil(F.col("n") / 2).cast("int")), lambda h: h.bitwiseAND(F.lit(HASH)))
+    c = c.withColumn("rarer", rarer)
+    keys = F.array(*[F.xxhash64(F.lit(k), f("rarer")) for k, f in enumerate((F.array_min, F.array_max))])
     one = F.lit(1).cast("long")
     bit = lambda h: F.call_function("shiftleft", one, F.shiftright(h, 1).bitwiseAND(F.lit(63)).cast("int"))
     sketch = lambda k: F.aggregate("sketched", F.lit(0).cast("long"), lambda a, h: F.when(h.bitwiseAND(F.lit(1)) == k, a.bitwiseOR(bit(h))).otherwise(a))
@@ -161,6 +158,7 @@ def hub_pairs(ranks: DataFrame) -> DataFrame:
     """Classes y with earlier ones x of the same key: the earliest and the most copied."""
     own = [*PLACE, "n", *SKETCH]
     rows = ranks.select("copies", *own, F.explode("keys").alias("key"))
+    rows = rows.filter(marked(rows.groupBy("key").count().filter("count > 1"), "key"))
     first, most = F.min(F.struct(*own)).alias("first"), F.max(F.struct("copies", *own)).alias("most")
     hubs = rows.groupBy("key").agg(F.count("*").alias("times"), first, most).filter("times > 1")
     hubs = hubs.select("key", F.explode(F.array("first", F.struct(*[F.col(f"most.{c}").alias(c) for c in own]))).alias("x")).select("key", "x.*")
@@ -170,55 +168,91 @@ def hub_pairs(ranks: DataFrame) -> DataFrame:
 
 def prefix_rows(ranks: DataFrame, part: int) -> DataFrame:
     """A row for each word of a class's prefix, for one range of words, with the word before it in the prefix."""
-    rows = ranks.select(*PLACE, "n", *SKETCH, "open", "prefix", F.posexplode("prefix").alias("at", "word")).filter(F.pmod("word", F.lit(PASSES)) == part)
-    return rows.withColumn("before", F.get("prefix", F.col("at") - 1)).drop("prefix")
+    own = [*PLACE, "n", *SKETCH, "open"]
+    before = F.concat(F.array(F.lit(None).cast("long")), F.slice("prefix", 1, F.size("prefix") - 1))
+    rows = ranks.select(*own, F.posexplode(F.arrays_zip(F.col("prefix").alias("word"), before.alias("before"))).alias("at", "w"))
+    return rows.select(*own, "at", "w.word", "w.before").filter(F.pmod("word", F.lit(PASSES)) == part)
+
+
+def short() -> Column:
+    """Whether a prefix word is among the first ninth or so.  The words before the first common one are each in one set
+    only, so of two similar sets one has that word there: together they lack n + m - 2t words, a ninth of n + m at most."""
+    return (100 + SIMILARITY_PERCENT) * F.col("at") <= (100 - SIMILARITY_PERCENT) * F.col("n")
+
+
+def band(n: Column) -> Column:
+    """Sizes in bands, each up to BAND times as large as its smallest."""
+    return F.floor(F.log(n.cast("double")) / math.log(BAND)).cast("int")
+
+
+def partner_bands() -> Column:
+    """Bands of the sizes m that allow enough words behind a prefix word in this set: t <= n - at."""
+    n, s = F.col("n"), SIMILARITY_PERCENT
+    least = band(F.ceil(n * s / 100))
+    most = band(F.greatest(F.lit(1), F.least(F.floor(n * 100 / s), F.floor((n - F.col("at")) * (100 + s) / s) - n)))
+    return F.sequence(least, F.greatest(least, most))
+
+
+def prefix_meetings(asking: DataFrame, others: DataFrame) -> DataFrame:
+    """Prefix rows a and b of the same word: a goes to the bands of all sizes that may be similar, b to that of its own size.
+
+    Of a table joined with itself only the short rows go to bands, whose partner may then be the earlier or the later one.
+    """
+    a = (asking.filter(short()) if asking is others else asking).withColumn("band", F.explode(partner_bands()))
+    b = others.withColumn("band", band(F.col("n"))).withColumn("long", ~short())
+    return a.alias("a").join(b.alias("b").hint("merge"), (F.col("a.word") == F.col("b.word")) & (F.col("a.band") == F.col("b.band")))
 
 
 def prefix_pairs(asking: DataFrame, others: DataFrame) -> DataFrame:
-    """Joined prefix rows of open classes y and earlier ones x that share a word of both prefixes; a pair once for each run of such words.
+    """Pairs of open classes y and earlier ones x that share a word of both prefixes, as structs; a pair once for each run of such words.
 
-    A pair whose words before are the same as well has met there, where no filter is stricter.  That y is open is tested on
-    both sides' columns, so that a table joined with itself is dealt out once.
+    A pair whose words before are the same as well has met there, where no filter is stricter.
     """
-    both = others.alias("x").join(asking.alias("y").hint("merge"), F.col("x.word") == F.col("y.word"))
-    both = both.filter(earlier("x", "y") & sizes_allow("x", "y") & positions_allow("x", "y"))
-    both = both.filter(F.col("y.open") | (F.col("x.open") & (F.col("x.n") < 0)))
-    return both.filter(F.coalesce(F.col("x.before") != F.col("y.before"), F.lit(True)) & sketches_allow("x", "y"))
+    asks = earlier("b", "a") & F.col("a.open")
+    if asking is others:
+        asks |= F.col("b.long") & earlier("a", "b") & F.col("b.open")
+    both = prefix_meetings(asking, others).filter(sizes_allow("a", "b") & positions_allow("a", "b") & asks)
+    both = both.filter(F.coalesce(F.col("a.before") != F.col("b.before"), F.lit(True)) & sketches_allow("a", "b"))
+    side = lambda s: F.struct(*[F.col(f"{s}.{c}").alias(c) for c in (*PLACE, "n", *SKETCH)])
+    first = earlier("b", "a")
+    return both.select(F.when(first, side("b")).otherwise(side("a")).alias("x"), F.when(first, side("a")).otherwise(side("b")).alias("y"))
 
 
 def crowd_pairs(still: DataFrame, scratch: Scratch) -> DataFrame:
-    """Open classes y with the earliest x, one in each share of the classes, of each crowded word of their prefix."""
+    """Open classes y with the earliest x, one in each share of the classes, of each crowded word among the first of their prefix."""
     own = [*PLACE, "n", *SKETCH]
-    rows = still.select("open", *own, F.explode("prefix").alias("word"))
+    rows = still.select("open", *own, F.explode(F.slice("prefix", 1, LEADING)).alias("word"))
     share = F.pmod("c", F.lit(EARLIEST)).alias("share")
     firsts = rows.groupBy("word", share).agg(F.count("*").alias("times"), F.min(F.struct(*own)).alias("x"))
     crowds = firsts.groupBy("word").agg(F.sum("times").alias("times"), F.collect_list("x").alias("x")).filter(F.col("times") > CROWD)
     crowds = scratch.write(crowds.select("word", F.explode("x").alias("x")).select("word", "x.*"), "crowds")
-    asking = rows.filter("open").drop("open").filter(marked(crowds.select("word")))
+    asking = rows.filter("open").drop("open").filter(marked(crowds, "word"))
     both = asking.alias("y").join(crowds.alias("x").hint("merge"), F.col("x.word") == F.col("y.word"))
     return both_places(both.filter(earlier("x", "y") & sizes_allow("x", "y")).filter(sketches_allow("x", "y")))
 
 
-def marked(words: DataFrame) -> Column:
-    """Whether a word is one of these, from a table of marks of fixed size; other words may pass too."""
-    mark = F.shiftrightunsigned(F.xxhash64("word"), 64 - MARKS)
+def marked(rows: DataFrame, *columns: str) -> Column:
+    """Whether what is in these columns is there in rows too, from a table of marks of fixed size; others may pass too."""
+    mark = F.shiftrightunsigned(F.xxhash64(*columns), 64 - MARKS)
     place, bit = F.shiftright(mark, 6).cast("int"), mark.bitwiseAND(F.lit(63)).cast("int")
-    rows = words.groupBy(place.alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    found = rows.groupBy(place.alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits")).toArrow()  # one row for 64 marks
     marks = [0] * (1 << MARKS - 6)
-    for r in rows.collect():  # one row for 64 marks
-        marks[r["at"]] = r["bits"]
-    table = F.from_json(F.lit(json.dumps(marks)), "array<bigint>")
+    for at, bits in zip(found["at"].to_pylist(), found["bits"].to_pylist(), strict=True):
+        marks[at] = bits
+    table = F.from_json(F.lit(json.dumps(marks, separators=(",", ":"))), "array<bigint>")
     return F.getbit(F.get(table, place), bit) == 1
 
 
 def closest(p: DataFrame) -> DataFrame:
-    """Of pairs (y, x) or of what is known already of each y, the x with the closest sketch, and those of the smallest and largest hash."""
-    y = [f"y_{c}" for c in PLACE]
-    if "best" not in p.columns:
-        x = F.struct(*[F.col(f"x.{c}").alias(c) for c in ("c", "doc", "pos")])
-        best = F.struct((lacks("x", "y") + lacks("y", "x")).alias("apart"), x.alias("x"))
-        p = p.select(*[F.col(f"y.{c}").alias(f"y_{c}") for c in PLACE], best.alias("best"), x.alias("low"), x.alias("high"))
-    return p.groupBy(*y).agg(F.min("best").alias("best"), F.min("low").alias("low"), F.max("high").alias("high"))
+    """Of each y in pairs, the x with the closest sketch, and those of the smallest and largest hash."""
+    x = F.struct(*[F.col(f"x_{c}").alias(c) for c in ("c", "doc", "pos")])
+    return p.groupBy(*[f"y_{c}" for c in PLACE]).agg(F.min(F.struct("apart", x.alias("x"))).alias("best"), F.min(x).alias("low"), F.max(x).alias("high"))
+
+
+def with_distance(p: DataFrame) -> DataFrame:
+    """The places of joined x and y, and how far their sketches are apart."""
+    places = [F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in PLACE]
+    return p.select(*places, (lacks("x", "y") + lacks("y", "x")).alias("apart"))
 
 
 def in_passes(scratch: Scratch, part) -> DataFrame:
@@ -232,10 +266,10 @@ def in_passes(scratch: Scratch, part) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, levels: list[int], scratch: Scratch) -> DataFrame:
     """Places of the later classes of pairs whose full sets reach the threshold."""
     side = lambda s: pairs.select(*[F.col(f"{s}_{c}").alias(c) for c in PLACE])
-    wanted = side("x").unionByName(side("y")).distinct().groupBy("doc").agg(F.collect_list(F.struct("pos", "c")).alias("wanted"))
-    found = docs.select(key_of(docs).alias("doc"), "text").join(wanted.hint("merge"), "doc")
-    found = found.select("doc", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w")).select("doc", "w.*", F.get("lines", F.col("w.pos")).alias("line"))
-    found = found.filter(F.btrim("line", F.lit(BLANK)) != "").select(*PLACE, word_codes("line", levels).alias("words"))
+    wanted = scratch.write(side("x").unionByName(side("y")).distinct(), "wanted")
+    # Of the texts only lines that may be wanted travel.
+    lines = spread(docs.withColumn("doc", key_of(docs)).filter(marked(wanted, "doc"))).filter(marked(wanted, "doc", "pos"))
+    found = lines.join(wanted.hint("merge"), ["doc", "pos"]).select(*PLACE, word_codes("line", levels).alias("words"))
     # Rows of one id may have other lines at the place.
     sets = scratch.write(found.filter(F.xxhash64("words") == F.col("c")), "sets")
     of = lambda s: sets.select(*[F.col(c).alias(f"{s}_{c}") for c in PLACE], F.col("words").alias(s))
@@ -243,7 +277,7 @@ def verified(pairs: DataFrame, docs: DataFrame, levels: list[int], scratch: Scra
     p = p.withColumn("both", F.size(F.array_intersect("x", "y")))
     similar = 100 * F.col("both") >= SIMILARITY_PERCENT * (F.size("x") + F.size("y") - F.col("both"))
     later = scratch.write(p.filter(similar).select(*[F.col(f"y_{c}").alias(c) for c in PLACE]).distinct(), "later")
-    scratch.drop(sets)
+    scratch.drop(sets, wanted)
     return later
 
 
@@ -261,17 +295,15 @@ def first_classes(docs: DataFrame, levels: list[int], scratch: Scratch) -> DataF
     before, still = still, still.join(later.withColumn("later", F.lit(True)).hint("merge"), PLACE, "left")
     still = scratch.write(still.withColumn("open", F.col("open") & F.col("later").isNull()).drop("later"), "ranks")
     scratch.drop(before, near, later)
-    open_ = still.filter("open")
-    close = scratch.write(closest(in_passes(scratch, lambda k: closest(prefix_pairs(prefix_rows(still, k), prefix_rows(still, k))))), "closest")
-    some = close.select(*[f"y_{c}" for c in PLACE], F.explode(F.array("best.x", "low", "high")).alias("x"))
-    later = verified(some.select(*[f"y_{c}" for c in PLACE], *[F.col(f"x.{c}").alias(f"x_{c}") for c in PLACE]).distinct(), docs, levels, scratch)
-    # Those that had more than one and are similar to none of these meet all.
-    more = close.filter("low <> high").select(*[F.col(f"y_{c}").alias(c) for c in PLACE]).join(later.hint("merge"), PLACE, "left_anti")
-    asking = scratch.write(open_.join(more.hint("merge"), PLACE, "left_semi"), "asking")
-    wanted = marked(asking.select(F.explode("prefix").alias("word")))
-    pairs = in_passes(scratch, lambda k: both_places(prefix_pairs(prefix_rows(asking, k), prefix_rows(still, k).filter(wanted))))
-    last = verified(scratch.write(both_places(pairs), "pairs"), docs, levels, scratch)
-    return open_.select(*PLACE).join(later.unionByName(last).hint("merge"), PLACE, "left_anti")
+    y = [f"y_{c}" for c in PLACE]
+    pairs = in_passes(scratch, lambda k: with_distance(prefix_pairs(*[prefix_rows(still, k)] * 2)))
+    close = scratch.write(closest(pairs), "closest")
+    some = close.select(*y, F.explode(F.array("best.x", "low", "high")).alias("x"))
+    later = verified(scratch.write(some.select(*y, *[F.col(f"x.{c}").alias(f"x_{c}") for c in PLACE]).distinct(), "pairs"), docs, levels, scratch)
+    # Those that had more than one and are similar to none of these are held against all.
+    more = close.filter("low <> high").select(*y).join(later.toDF(*y).hint("merge"), y, "left_anti")
+    last = verified(scratch.write(both_places(pairs.join(more.hint("merge"), y, "left_semi")), "pairs"), docs, levels, scratch)
+    return still.filter("open").select(*PLACE).join(later.unionByName(last).hint("merge"), PLACE, "left_anti")
 
 
 def repeats(docs: DataFrame) -> bool:
